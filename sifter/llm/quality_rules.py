@@ -43,7 +43,7 @@ def _hashed(words: Column) -> Column:
 
 def _joined(hashes: Column, step: int) -> Column:
     """Hashes of runs twice as long: each with the one `step` places on."""
-    after = F.slice(hashes, step + 1, 2**31 - 1)
+    after = F.slice(hashes, step + 1, F.size(hashes))
     return F.slice(F.zip_with(hashes, after, lambda a, b: F.xxhash64(a, b)), 1, F.greatest(F.size(hashes) - step, F.lit(0)))
 
 
