@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sifter.llm import quality_rules, secret_scan
+from sifter.llm import quality_rules, secret_scan, topk_search
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -24,9 +24,17 @@ def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.digest(secret_scan.scan_secrets(_table(spark, sf_dir, "documents")))
 
 
+def op6_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk_search.search(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op4_secret_scan": op4_secret_scan, "op5_quality_rules": op5_quality_rules}
+    return {
+        "op4_secret_scan": op4_secret_scan,
+        "op5_quality_rules": op5_quality_rules,
+        "op6_topk_search": op6_topk_search,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_secret_scan": secret_scan.sql()}
+    return {"op4_secret_scan": secret_scan.sql(), "op6_topk_search": topk_search.sql()}
