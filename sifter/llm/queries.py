@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sifter.llm import packing, quality_rules, secret_scan, topk_search
+from sifter.llm import chat_tools, packing, quality_rules, secret_scan, topk_search, warc
+from sifter.llm.common import shared_dir
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -32,14 +33,27 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed_documents(_table(spark, sf_dir, "documents"))
 
 
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = shared_dir(spark)
+    warc.write(warc.records(_table(spark, sf_dir, "pages")), path)
+    return warc.digest(warc.read(spark, path, payload="none"))
+
+
+def op9_chat_tools(spark: SparkSession, sf_dir: str) -> DataFrame:
+    calls, results = chat_tools.from_turns(_table(spark, sf_dir, "conversations"))
+    return chat_tools.link(calls, results, chat_tools.TURN_SCHEMAS)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op4_secret_scan": op4_secret_scan,
         "op5_quality_rules": op5_quality_rules,
         "op6_topk_search": op6_topk_search,
+        "op8_warc": op8_warc,
+        "op9_chat_tools": op9_chat_tools,
         "op10_best_fit_packing": op10_best_fit_packing,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_secret_scan": secret_scan.sql(), "op6_topk_search": topk_search.sql()}
+    return {"op4_secret_scan": secret_scan.sql(), "op6_topk_search": topk_search.sql(), "op8_warc": warc.sql(), "op9_chat_tools": chat_tools.sql()}
