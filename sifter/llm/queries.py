@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sifter.llm import chat_tools, packing, quality_rules, secret_scan, topk_search, warc
+from sifter.llm import chat_tools, language_id, packing, quality_rules, secret_scan, topk_search, warc
 from sifter.llm.common import shared_dir
 
 
@@ -21,6 +21,10 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.score(docs, weights, rules)
 
 
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.identify(_table(spark, sf_dir, "documents"))
+
+
 def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.digest(secret_scan.scan_secrets(_table(spark, sf_dir, "documents")))
 
@@ -46,6 +50,7 @@ def op9_chat_tools(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op3_language_id": op3_language_id,
         "op4_secret_scan": op4_secret_scan,
         "op5_quality_rules": op5_quality_rules,
         "op6_topk_search": op6_topk_search,
