@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sifter.llm import chat_tools, language_id, merge_dropout, packing, quality_rules, secret_scan, topk_search, warc
+from sifter.llm import chat_tools, language_id, merge_dropout, packing, quality_rules, secret_scan, suffix_tree, topk_search, warc
 from sifter.llm.common import shared_dir
 
 
@@ -25,6 +25,10 @@ def op1_merge_dropout(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merge_dropout.encode_documents(_table(spark, sf_dir, "documents"))
 
 
+def op2_suffix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_tree.score(_table(spark, sf_dir, "documents"))
+
+
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(_table(spark, sf_dir, "documents"))
 
@@ -55,6 +59,7 @@ def op9_chat_tools(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_merge_dropout": op1_merge_dropout,
+        "op2_suffix_tree": op2_suffix_tree,
         "op3_language_id": op3_language_id,
         "op4_secret_scan": op4_secret_scan,
         "op5_quality_rules": op5_quality_rules,
