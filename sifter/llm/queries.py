@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sifter.llm import chat_tools, language_id, merge_dropout, packing, quality_rules, secret_scan, suffix_tree, topk_search, warc
+from sifter.llm import chat_tools, language_id, merge_dropout, near_dedup, packing, quality_rules, secret_scan, suffix_tree, topk_search, warc
 from sifter.llm.common import shared_dir
 
 
@@ -45,6 +45,10 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed_documents(_table(spark, sf_dir, "documents"))
 
 
+def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.classes(_table(spark, sf_dir, "documents"))
+
+
 def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = shared_dir(spark)
     warc.write(warc.records(_table(spark, sf_dir, "pages")), path)
@@ -64,6 +68,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_secret_scan": op4_secret_scan,
         "op5_quality_rules": op5_quality_rules,
         "op6_topk_search": op6_topk_search,
+        "op7_near_dedup": op7_near_dedup,
         "op8_warc": op8_warc,
         "op9_chat_tools": op9_chat_tools,
         "op10_best_fit_packing": op10_best_fit_packing,
