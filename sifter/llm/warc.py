@@ -8,7 +8,8 @@ one with the largest id is the response and the others revisit it, without a pay
 Reading (format ``warc``) plans one partition for a group of whole files. Equality and IN filters
 on ``record_type`` and on the header columns are pushed down: each record's headers are parsed
 first, and the payload of a record that a filter rejects, or any payload where the option
-``payload`` is ``none``, is skipped by its length without being read or decoded.
+``payload`` is ``none``, is skipped by its length: without being read in a plain file, and without
+being decoded in a gzip one.
 
 Defined cases: a null payload is taken as empty; rows with a null id are written without one and
 come last among equal payloads; repeated rows are written once each, and rows that share the
@@ -20,6 +21,8 @@ from __future__ import annotations
 
 import base64
 import glob
+import gzip
+import io
 import os
 import re
 from collections.abc import Iterator
@@ -27,7 +30,6 @@ from dataclasses import dataclass
 from urllib.parse import unquote, urlsplit
 
 import pandas as pd
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, In, InputPartition
@@ -99,8 +101,8 @@ def _urn(id_: Column) -> Column:
     return F.concat(F.lit("<urn:page:"), id_.cast("string"), F.lit(">"))
 
 
-def write(rows: DataFrame, path: str, spec: Warc = Warc()) -> None:
-    """Write rows of records() as WARC files below path."""
+def write(rows: DataFrame, path: str, spec: Warc = Warc(), compression: str = "gzip") -> None:
+    """Write rows of records() as WARC files below path; compression may be gzip or none."""
     body = F.when(F.col("record_type") == "response", F.col("payload")).otherwise("")
 
     def header(name: str, value: Column) -> Column:  # concat_ws leaves nulls out
@@ -119,7 +121,7 @@ def write(rows: DataFrame, path: str, spec: Warc = Warc()) -> None:
         header("Content-Type", F.lit("text/html; charset=utf-8")),
         header("Content-Length", F.octet_length(body).cast("string")),
     )
-    rows.select(F.concat(block, F.lit("\r\n\r\n"), body).alias("value")).write.option("lineSep", RECORD_END).text(path)
+    rows.select(F.concat(block, F.lit("\r\n\r\n"), body).alias("value")).write.option("lineSep", RECORD_END).option("compression", compression).text(path)
 
 
 # Reading
@@ -143,11 +145,13 @@ def _files(path: str) -> list[tuple[str, int]]:
 
 def _opened(uri: str):
     if "://" not in uri:
-        return open(uri, "rb", buffering=1 << 20)
-    from pyarrow import fs
+        stream = open(uri, "rb", buffering=1 << 20)
+    else:
+        from pyarrow import fs
 
-    system, at = fs.FileSystem.from_uri(uri)
-    return pa.BufferedReader(system.open_input_file(at)) if hasattr(pa, "BufferedReader") else system.open_input_file(at)
+        system, at = fs.FileSystem.from_uri(uri)
+        stream = io.BufferedReader(system.open_input_file(at), 1 << 20)
+    return gzip.GzipFile(fileobj=stream) if uri.endswith(".gz") else stream
 
 
 def _value(column: str, headers: dict[str, str]) -> str | int | None:

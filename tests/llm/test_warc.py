@@ -49,7 +49,7 @@ def test_round_trip(spark, tmp_path):
 
 def test_filters_reach_the_reader(spark, tmp_path):
     pages = spark.createDataFrame(ROWS, SCHEMA)
-    w.write(w.records(pages), str(tmp_path / "b"))
+    w.write(w.records(pages), str(tmp_path / "b"), compression="none")
     archive = w.read(spark, "file://" + str(tmp_path / "b"), payload="none")
     found = archive.filter((F.col("record_type") == "revisit") & F.col("record_id").isin(2, 5, 8))
     assert sorted(r.record_id for r in found.collect()) == [2, 5] and all(r.payload is None for r in archive.collect())
