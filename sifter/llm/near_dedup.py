@@ -26,9 +26,8 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sifter.llm.common import staged
@@ -242,23 +241,50 @@ def _verified(pairs: DataFrame, texts: DataFrame, spec: NearDedup) -> DataFrame:
     return both.mapInArrow(check, "a long, b long")
 
 
+def _pairs_across(ids: np.ndarray, roots: np.ndarray, marks: np.ndarray, one: np.ndarray, two: np.ndarray, spec: NearDedup) -> list[tuple[int, int]]:
+    """Pairs between the places `one` and `two` of other components whose registers agree enough."""
+    out = []
+    for k in one:
+        at = two[(roots[two] != roots[k]) & ((ids[two] > ids[k]) if one is two else True)]
+        if len(at):
+            at = at[(marks[at] == marks[k]).sum(axis=1) >= spec.agree * spec.size]
+            out += [(int(ids[k]), int(x)) for x in ids[at]]
+    return out
+
+
 def _across(spec: NearDedup):
-    """Pairs of different components in a block pair of a bucket whose registers agree enough."""
-
-    def compare(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["side", "id"])
-        one = pdf[pdf["side"] == pdf["i"]]
-        two = pdf[pdf["side"] == pdf["j"]]
-        marks = [np.frombuffer(b"".join(p["marks"]), np.uint32).reshape(len(p), -1) for p in (one, two)]
-        ids, roots = [p["id"].to_numpy() for p in (one, two)], [p["root"].to_numpy() for p in (one, two)]
-        a, b = [], []
-        for k in range(len(one)):
-            near = (ids[1] > ids[0][k]) & (roots[1] != roots[0][k]) if pdf["i"].iloc[0] == pdf["j"].iloc[0] else roots[1] != roots[0][k]
-            at = np.flatnonzero(near)
-            at = at[(marks[1][at] == marks[0][k]).sum(axis=1) >= spec.agree * spec.size]
-            a += [ids[0][k]] * len(at)
-            b += ids[1][at].tolist()
-        return pd.DataFrame({"a": np.array(a, np.int64), "b": np.array(b, np.int64)})
+    """Pairs of different components in a block pair of a bucket; rows come in order of their groups.
+
+    A group has two blocks at most, so that a worker holds no more.
+    """
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        carry: pa.Table | None = None
+
+        def found(t: pa.Table, last: bool) -> tuple[list[tuple[int, int]], pa.Table | None]:
+            bucket, i, j, side, ids, roots = (t.column(c).to_numpy() for c in ("bucket", "i", "j", "side", "id", "root"))
+            new = np.append(True, (bucket[1:] != bucket[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1]))
+            cuts = np.append(np.flatnonzero(new), len(bucket))
+            whole = len(cuts) - 1 if last else len(cuts) - 2  # the last group may go on
+            marks = np.frombuffer(b"".join(t.column("marks").slice(0, cuts[whole]).to_pylist()), np.uint32).reshape(-1, spec.size)
+            pairs = []
+            for k in range(whole):
+                at = np.arange(cuts[k], cuts[k + 1])
+                one = at[side[at] == i[at[0]]]
+                two = one if i[at[0]] == j[at[0]] else at[side[at] == j[at[0]]]
+                pairs += _pairs_across(ids, roots, marks, one, two, spec)
+            return pairs, None if last else t.slice(cuts[whole])
+
+        def out(pairs: list[tuple[int, int]]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([p[0] for p in pairs], pa.int64()), pa.array([p[1] for p in pairs], pa.int64())], ["a", "b"])
+
+        for batch in batches:
+            if batch.num_rows:
+                t = pa.Table.from_batches([batch])
+                pairs, carry = found(pa.concat_tables([carry, t]) if carry is not None else t, False)
+                yield out(pairs)
+        if carry is not None:
+            yield out(found(carry, True)[0])
 
     return compare
 
@@ -286,7 +312,17 @@ def classes(docs: DataFrame, spec: NearDedup = NearDedup(), id_col: str = "doc_i
     roots = components(links)
     # Buckets that still hold different components, in blocks.
     labelled = held.select("bucket", "id").join(roots.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
-    mixed = labelled.groupBy("bucket").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.count(F.lit(1)).alias("n")).filter("r0 <> r1")
+    # A bucket of two was compared as a star. Buckets with the same members are compared once.
+    mixed = (
+        labelled.groupBy("bucket")
+        .agg(
+            F.min("root").alias("r0"), F.max("root").alias("r1"), F.count(F.lit(1)).alias("n"),
+            F.sum(F.xxhash64("id").cast("decimal(38,0)")).alias("s0"), F.sum(F.xxhash64("id", F.lit(1)).cast("decimal(38,0)")).alias("s1"),
+        )
+        .filter("r0 <> r1 and n > 2")
+        .groupBy("n", "s0", "s1")
+        .agg(F.min("bucket").alias("bucket"))
+    )
     open_ = labelled.join(mixed.select("bucket", "n"), "bucket").withColumn("blocks", F.ceil(F.col("n") / spec.block).cast("int"))
     open_ = open_.withColumn("side", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     # A block meets every block, itself included: (i, j) with i <= j.
@@ -295,8 +331,10 @@ def classes(docs: DataFrame, spec: NearDedup = NearDedup(), id_col: str = "doc_i
     )
     pairs = (
         dealt.join(reps, "id")
-        .groupBy("bucket", "i", "j")
-        .applyInPandas(_across(spec), "a long, b long")
+        .select("bucket", "i", "j", "side", "id", "root", "marks")
+        .repartition("bucket", "i", "j")
+        .sortWithinPartitions("bucket", "i", "j", "id")
+        .mapInArrow(_across(spec), "a long, b long")
         .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
         .distinct()
         .join(stars, ["a", "b"], "left_anti")
