@@ -82,13 +82,16 @@ class Scorer:
         self.reset()
 
     def reset(self) -> None:
-        outer, self.vectors, self.stacked = self, [], np.zeros((0, len(self.model.langs)))
+        outer, self.stacked = self, np.zeros((1024, len(self.model.langs)))
 
         class Rows(dict):
             def __missing__(self, word: str) -> int:
-                outer.vectors.append(outer.model.word(word))
-                self[word] = len(self)
-                return self[word]
+                at = len(self)
+                if at == len(outer.stacked):
+                    outer.stacked = np.vstack([outer.stacked, np.zeros_like(outer.stacked)])
+                outer.stacked[at] = outer.model.word(word)
+                self[word] = at
+                return at
 
         self.rows = Rows()
 
@@ -99,9 +102,6 @@ class Scorer:
         if len(self.rows) > self.model.spec.remembered:
             self.reset()
         at = np.fromiter(map(self.rows.__getitem__, words), np.int64, len(words))
-        if len(self.stacked) < len(self.rows):
-            self.stacked = np.vstack([self.stacked, np.array(self.vectors)])
-            self.vectors = []
         mean = self.stacked[at].mean(axis=0)
         best = int(np.argmax(mean))
         spread = np.exp((mean - mean[best]) * min(len(words), self.model.spec.sharpness))
