@@ -11,8 +11,9 @@ registers are filled, for all texts of a batch at once.
 
 Texts with equal multisets are one class from the start and one representative goes on. Its
 registers are banded; in each bucket every member is compared with the bucket's first one, and
-the links that hold are joined into components. Then every bucket that still holds members of
-different components compares all of those across components, by registers first and then by
+the links that hold are joined into components. In every bucket that still holds members of
+different components each member is then compared with the one that agrees with it most, and at
+last all that are still in different components with each other, by registers first and then by
 multisets, in blocks. No bucket is capped, and no link between different texts is lost that
 any band brings together (a pair at similarity 0.8 is missed by all bands with chance 3e-6).
 
@@ -241,18 +242,24 @@ def _verified(pairs: DataFrame, texts: DataFrame, spec: NearDedup) -> DataFrame:
     return both.mapInArrow(check, "a long, b long")
 
 
-def _pairs_across(ids: np.ndarray, roots: np.ndarray, marks: np.ndarray, one: np.ndarray, two: np.ndarray, spec: NearDedup) -> list[tuple[int, int]]:
-    """Pairs between the places `one` and `two` of other components whose registers agree enough."""
+def _pairs_across(ids: np.ndarray, roots: np.ndarray, marks: np.ndarray, one: np.ndarray, two: np.ndarray, spec: NearDedup, best: bool = False) -> list[tuple[int, int]]:
+    """Pairs between the places `one` and `two` of other components whose registers agree enough.
+
+    With best, only the pair of each place with the one that agrees with it most.
+    """
     out = []
     for k in one:
-        at = two[(roots[two] != roots[k]) & ((ids[two] > ids[k]) if one is two else True)]
+        at = two[(roots[two] != roots[k]) & ((ids[two] > ids[k]) if one is two and not best else True)]
         if len(at):
-            at = at[(marks[at] == marks[k]).sum(axis=1) >= spec.agree * spec.size]
-            out += [(int(ids[k]), int(x)) for x in ids[at]]
+            agreed = (marks[at] == marks[k]).sum(axis=1)
+            near = agreed >= spec.agree * spec.size
+            if best and near.any():
+                near = np.arange(len(at)) == agreed.argmax()
+            out += [(int(ids[k]), int(x)) for x in ids[at[near]]]
     return out
 
 
-def _across(spec: NearDedup):
+def _across(spec: NearDedup, best: bool):
     """Pairs of different components in a block pair of a bucket; rows come in order of their groups.
 
     A group has two blocks at most, so that a worker holds no more.
@@ -272,7 +279,9 @@ def _across(spec: NearDedup):
                 at = np.arange(cuts[k], cuts[k + 1])
                 one = at[side[at] == i[at[0]]]
                 two = one if i[at[0]] == j[at[0]] else at[side[at] == j[at[0]]]
-                pairs += _pairs_across(ids, roots, marks, one, two, spec)
+                pairs += _pairs_across(ids, roots, marks, one, two, spec, best)
+                if best and one is not two:
+                    pairs += _pairs_across(ids, roots, marks, two, one, spec, best)
             return pairs, None if last else t.slice(cuts[whole])
 
         def out(pairs: list[tuple[int, int]]) -> pa.RecordBatch:
@@ -289,28 +298,8 @@ def _across(spec: NearDedup):
     return compare
 
 
-def classes(docs: DataFrame, spec: NearDedup = NearDedup(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, class_id, class_size, n_links of every row; ids are longs and tell rows apart.
-
-    n_links counts the verified links of the row's representative to other texts.
-    """
-    base = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    signed = staged(base.mapInArrow(_signed(spec, "long"), "id long, same binary, marks binary"))
-    # Equal multisets, however many: sums by key first, one representative each.
-    firsts = signed.filter("same is not null and id is not null").groupBy("same").agg(F.min("id").alias("rep"))
-    members = staged(signed.select("id", "same").join(firsts, "same", "left").select("id", F.coalesce("rep", "id").alias("rep")))
-    reps = signed.join(firsts, "same", "left_semi").filter("id is not null").join(firsts.select(F.col("rep").alias("id")), "id", "left_semi")
-    reps = staged(reps.groupBy("id").agg(F.first("marks").alias("marks")))
-    texts = base.filter("text is not null").join(reps.select("id"), "id", "left_semi").groupBy("id").agg(F.min("text").alias("text"))
-    banded = reps.mapInArrow(_band_rows(spec), "id long, bucket long")
-    shared = banded.groupBy("bucket").agg(F.min("id").alias("head"), F.count(F.lit(1)).alias("n")).filter("n > 1")
-    held = staged(banded.join(shared, "bucket").select("bucket", "id", "head"))
-    stars = held.filter("id <> head").select(F.col("head").alias("a"), F.col("id").alias("b")).distinct()
-    involved = held.select("id").distinct()
-    texts = staged(texts.join(involved, "id", "left_semi"))
-    links = staged(_verified(stars, texts, spec))
-    roots = components(links)
-    # Buckets that still hold different components, in blocks.
+def _apart(held: DataFrame, roots: DataFrame, reps: DataFrame, spec: NearDedup, best: bool) -> DataFrame:
+    """a < b: members of a bucket in different components whose registers agree enough."""
     labelled = held.select("bucket", "id").join(roots.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
     # A bucket of two was compared as a star. Buckets with the same members are compared once.
     mixed = (
@@ -323,25 +312,51 @@ def classes(docs: DataFrame, spec: NearDedup = NearDedup(), id_col: str = "doc_i
         .groupBy("n", "s0", "s1")
         .agg(F.min("bucket").alias("bucket"))
     )
-    open_ = labelled.join(mixed.select("bucket", "n"), "bucket").withColumn("blocks", F.ceil(F.col("n") / spec.block).cast("int"))
-    open_ = open_.withColumn("side", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    rows = labelled.join(mixed.select("bucket", "n"), "bucket").withColumn("blocks", F.ceil(F.col("n") / spec.block).cast("int"))
+    rows = rows.withColumn("side", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     # A block meets every block, itself included: (i, j) with i <= j.
-    dealt = open_.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
+    dealt = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
         "bucket", "id", "root", "side", F.least("side", "other").alias("i"), F.greatest("side", "other").alias("j")
     )
-    pairs = (
+    return (
         dealt.join(reps, "id")
         .select("bucket", "i", "j", "side", "id", "root", "marks")
         .repartition("bucket", "i", "j")
         .sortWithinPartitions("bucket", "i", "j", "id")
-        .mapInArrow(_across(spec), "a long, b long")
+        .mapInArrow(_across(spec, best), "a long, b long")
         .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
         .distinct()
-        .join(stars, ["a", "b"], "left_anti")
     )
-    more = staged(_verified(staged(pairs), texts, spec))
-    every = links.unionByName(more)
-    roots = components(every)
+
+
+def classes(docs: DataFrame, spec: NearDedup = NearDedup(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """id, class_id, class_size, n_links of every row; ids are longs and tell rows apart.
+
+    n_links counts the verified links of the row's representative to other texts.
+    """
+    base = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    signed = staged(base.mapInArrow(_signed(spec, "long"), "id long, same binary, marks binary"))
+    # Equal multisets, however many: sums by key first, one representative each.
+    firsts = signed.filter("same is not null and id is not null").groupBy("same").agg(F.min("id").alias("rep"))
+    members = staged(signed.select("id", "same").join(firsts, "same", "left").select("id", F.coalesce("rep", "id").alias("rep")))
+    reps = signed.join(firsts, "same", "left_semi").filter("id is not null").join(firsts.select(F.col("rep").alias("id")), "id", "left_semi")
+    reps = staged(reps.groupBy("id").agg(F.first("marks").alias("marks")))
+    texts = base.filter("text is not null").join(reps.select("id"), "id", "left_semi").groupBy("id").agg(F.min("text").alias("text"))
+    banded = reps.mapInArrow(_band_rows(spec), "id long, bucket long")
+    shared = banded.groupBy("bucket").agg(F.min("id").alias("head"), F.count(F.lit(1)).alias("n")).filter("n > 1")
+    held = staged(banded.join(shared, "bucket").select("bucket", "id", "head"))
+    stars = held.filter("id <> head").select(F.col("head").alias("a"), F.col("id").alias("b")).distinct()
+    involved = held.select("id").distinct()
+    texts = staged(texts.join(involved, "id", "left_semi"))
+    links = staged(_verified(stars, texts, spec))
+    every, roots, tried = links, components(links), stars
+    # First each member meets the one that agrees with it most, in other components: the copies
+    # of one text meet there, though less alike among themselves. Then all that is still apart.
+    for best in (True, False):
+        pairs = staged(_apart(held, roots, reps, spec, best).join(tried, ["a", "b"], "left_anti"))
+        every = every.unionByName(staged(_verified(pairs, texts, spec)))
+        tried = tried.unionByName(pairs)
+        roots = components(every)
     degree = every.select(F.explode(F.array("a", "b")).alias("rep")).groupBy("rep").agg(F.count(F.lit(1)).alias("n_links"))
     out = (
         members.join(roots.withColumnRenamed("node", "rep"), "rep", "left")
