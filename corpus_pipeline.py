@@ -32,7 +32,8 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 def apply_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     rules = quality_rules.QualityRules()
     weights = quality_rules.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), rules)
-    kept = quality_rules.score(docs, weights, rules, carry=COLUMNS).filter("kept")
+    # Written before it is filtered: a filter would be pushed below the scores and repeat them.
+    kept = staged(quality_rules.score(docs, weights, rules, carry=COLUMNS)).filter("kept")
     return kept.select(*_columns(kept, "carried."))
 
 

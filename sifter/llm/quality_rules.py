@@ -77,10 +77,10 @@ def fit(docs: DataFrame, labels: DataFrame, rules: QualityRules, id_col: str = "
     n_raw, n_target, a = sum(raw), sum(target), rules.smoothing
     if not n_target:
         return [0.0] * rules.buckets
-    return [
-        math.log((t + a) / (n_target + a * rules.buckets)) - math.log((r + a) / (n_raw + a * rules.buckets))
-        for t, r in zip(target, raw, strict=True)
-    ]
+    # The target is smoothed towards the raw distribution, so that a small sample says little.
+    prior = a * rules.buckets
+    p_raw = [(r + a) / (n_raw + prior) for r in raw]
+    return [math.log((t + prior * p) / (n_target + prior)) - math.log(p) for t, p in zip(target, p_raw, strict=True)]
 
 
 def _shifted(h: Column, bits: str) -> Column:
@@ -109,7 +109,11 @@ def score(
     text_col: str = "text",
     carry: tuple[str, ...] = (),
 ) -> DataFrame:
-    """Counts, score and verdict of every document; `carry` columns are passed on as they are."""
+    """Counts, score and verdict of every document; `carry` columns are passed on as they are.
+
+    Write the result before filtering on it: Catalyst would push a filter below the columns that
+    build on each other, and plan for very long.
+    """
     table = F.split(F.lit(",".join(repr(x) for x in weights)), ",").cast("array<double>")  # folded to a constant
     text = F.coalesce(F.col("text"), F.lit(""))
 

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 
 import corpus_pipeline as c
-from sifter.llm import packing, quality_rules, secret_scan
+from sifter.llm import packing
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -26,31 +26,33 @@ def corpus(spark, tmp_path_factory):
     return rows, str(path)
 
 
-def test_each_stage_decides_and_the_rest_goes_on(spark, corpus):
+def test_each_stage_decides_and_run_equals_a_plain_version(spark, corpus, monkeypatch):
     rows, path = corpus
-    docs, ids = spark.read.parquet(f"{path}/documents.parquet"), {}
-    for name, stage in c.STAGES[:-1]:
-        docs = stage(spark, docs, path).cache()
-        assert docs.columns == list(c.COLUMNS)
-        ids[name] = {r.doc_id for r in docs.select("doc_id").collect()}
+    seen = {}
+
+    def watched(name, stage):
+        def call(session, docs, sf_dir):
+            seen[name] = docs  # the rows that the stage before has kept, read back
+            return stage(session, docs, sf_dir)
+
+        return call
+
+    monkeypatch.setattr(c, "STAGES", [(n, watched(n, f)) for n, f in c.STAGES])
+    got = c.run(spark, path).collect()
+    assert list(seen) == ["language_id", "quality_rules", "near_dedup", "secret_scan", "best_fit_packing"]
+    assert all(df.columns == list(c.COLUMNS) for df in seen.values())
+    ids = {name: {r.doc_id for r in df.select("doc_id").collect()} for name, df in seen.items()}
     everything = {i for i, _, _ in rows}
-    assert ids["language_id"] == everything - {202, 203}
-    assert ids["quality_rules"] == ids["language_id"] - {204, 205}
-    assert ids["near_dedup"] == ids["secret_scan"] == ids["quality_rules"] - {200, 201}
-    texts = {r.doc_id: r for r in docs.collect()}
+    assert ids["quality_rules"] == everything - {202, 203}
+    assert ids["near_dedup"] == ids["quality_rules"] - {204, 205}
+    assert ids["secret_scan"] == ids["best_fit_packing"] == ids["near_dedup"] - {200, 201}
+
     before = {i: t for i, t, _ in rows}
-    assert "0123456789abcdef" not in texts[206].text and "[secret]" in texts[206].text and texts[206].n_chars == len(texts[206].text)
+    texts = {r.doc_id: r for r in seen["best_fit_packing"].collect()}
+    secret = 'token = "0123456789abcdef0123456789abcdef01234567'
+    assert texts[206].text == before[206].replace(secret, "[secret]") and texts[206].n_chars == len(texts[206].text)
     assert all(texts[i].text == before[i] for i in texts if i != 206)
 
-
-def test_run_equals_a_plain_version(spark, corpus):
-    rows, path = corpus
-    got = c.run(spark, path).collect()
     tokenizer = packing.ByteTokenizer(packing.vocabulary_path(), 1000)
-    kept = {i: t for i, t, _ in rows if i not in (200, 201, 202, 203, 204, 205)}
-    start = kept[206].index("token =")
-    stop = start + len('token = "0123456789abcdef0123456789abcdef01234567')
-    kept[206] = kept[206][:start] + "[secret]" + kept[206][stop:]
-    want = {(i, k, a, b - a) for i, t in kept.items() for k, (a, b) in enumerate(packing._cut(np.append(tokenizer.ids(t), 2), 1024))}
+    want = {(i, k, a, b - a) for i, r in texts.items() for k, (a, b) in enumerate(packing._cut(np.append(tokenizer.ids(r.text), 2), 1024))}
     assert {(r.doc_id, r.piece, r.start, r.length) for r in got} == want and len(got) == len(want)
-    assert quality_rules.WINDOW == 8 and secret_scan.KINDS[0] == "assign"
