@@ -56,7 +56,7 @@ def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return packing.packed_documents(docs)
+    return packing.packed_documents(docs, packing.Packing(added_tokens=True))
 
 
 STAGES = [

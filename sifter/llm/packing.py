@@ -43,6 +43,9 @@ class Packing:
     #: Lengths above this share of a sequence are large; they form so many groups.
     large: float = 0.125
     groups: int = 48
+    #: Whether the vocabulary's added tokens stand for their ids in a text, as by the library's
+    #: default settings; otherwise their strings are ordinary text.
+    added_tokens: bool = False
     #: Words whose ids a worker remembers at most; the ids don't depend on it.
     remembered: int = 400_000
 
@@ -58,9 +61,10 @@ class ByteTokenizer:
 
     Words between single spaces are tokenized alike wherever they stand, so that most of a text
     is looked up. A text with other runs of white space at such a boundary is encoded whole.
+    With ``added``, texts are first split at the vocabulary's added tokens.
     """
 
-    def __init__(self, path: str, remembered: int) -> None:
+    def __init__(self, path: str, remembered: int, added: bool = False) -> None:
         import tiktoken
 
         with open(path, encoding="utf-8") as f:
@@ -70,6 +74,13 @@ class ByteTokenizer:
         byte_of = {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in set(shown))}
         ranks = {bytes(byte_of[c] for c in k): v for k, v in model["model"]["vocab"].items() if k not in special}
         self.encode = tiktoken.Encoding("vocabulary", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+        self.added: dict[str, int] = {}
+        for t in model["added_tokens"] if added else ():
+            if t["single_word"] or t["lstrip"] or t["rstrip"] or t["normalized"] and model.get("normalizer"):
+                raise ValueError(f"added token {t['content']!r}: only those that match as they stand")
+            self.added[t["content"]] = t["id"]
+        # Longer ones first, so that none hides behind its own beginning.
+        self.split = re.compile("(" + "|".join(map(re.escape, sorted(self.added, key=len, reverse=True))) + ")") if self.added else None
         self.remembered = remembered
         self.edge = re.compile(r"\s|\Z", re.UNICODE)
         outer = self
@@ -86,6 +97,12 @@ class ByteTokenizer:
         self.words = Words()
 
     def ids(self, text: str) -> np.ndarray:
+        if self.split is None or not self.split.search(text):
+            return self._plain(text)
+        parts = self.split.split(text)  # every other one is an added token
+        return np.concatenate([np.array([self.added[x]], np.uint32) if k % 2 else self._plain(x) for k, x in enumerate(parts)])
+
+    def _plain(self, text: str) -> np.ndarray:
         first, *rest = text.split(" ")
         if first and not first[-1].isspace():
             try:
@@ -116,7 +133,7 @@ def pieces(
     schema = f"{id_col} {kind}, piece int, start long, length long, ids_crc32 long" + (", ids array<int>" if with_ids else "")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer = ByteTokenizer(path, spec.remembered)
+        tokenizer = ByteTokenizer(path, spec.remembered, spec.added_tokens)
         for batch in batches:
             rows, number, start, length, crc, kept = [], [], [], [], [], []
             for row, text in enumerate(batch.column(1).to_pylist()):

@@ -42,7 +42,7 @@ def op6_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.packed_documents(_table(spark, sf_dir, "documents"))
+    return packing.packed_documents(_table(spark, sf_dir, "documents"), packing.Packing(added_tokens=True))
 
 
 def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -90,3 +90,26 @@ def test_ids_can_be_kept(spark):
     assert list(r.ids) == reference_ids("some words here") + [2]
     with pytest.raises(ValueError):
         p.plan({2000: 1})
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.sampled_from(["<|endoftext|>", "<|endof", "text|>", " ", "  ", "a", "b 1", "\n", "é", "'s"]), max_size=12).map("".join))
+def test_added_tokens_equal_the_library_by_default(text):
+    if not hasattr(p, "_a"):
+        from tokenizers import Tokenizer
+
+        p._a, p._d = p.ByteTokenizer(p.vocabulary_path(), 50, True), Tokenizer.from_file(p.vocabulary_path())
+    assert list(p._a.ids(text)) == p._d.encode(text, add_special_tokens=False).ids
+
+
+def test_the_query_emits_ids_of_added_tokens(spark, tmp_path):
+    from tokenizers import Tokenizer
+
+    from sifter.llm import queries
+
+    text = "a <|endoftext|> b<|endoftext|><|endoftext|>\n" + "long word " * 1500
+    spark.createDataFrame([(1, text)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    ids = np.array(Tokenizer.from_file(p.vocabulary_path()).encode(text, add_special_tokens=False).ids + [2], "<u4")
+    got = queries.op10_best_fit_packing(spark, str(tmp_path)).collect()
+    assert (ids == 50256).sum() == 3 and sum(r.length for r in got) == len(ids) and len(got) > 2
+    assert all(r.ids_crc32 == zlib.crc32(ids[r.start : r.start + r.length].tobytes()) for r in got)
