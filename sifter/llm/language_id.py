@@ -1,15 +1,15 @@
 """Language identification: words first, then ever shorter character n-grams.
 
-Words are runs of letters of the lower-cased text. The model holds, for every word whose share
-of the training tokens reaches ``word_share``, its log frequency in each language, and likewise
-for the character n-grams (of the word between two marks) of each order. A known word scores by
-its log frequencies. An unseen one scores by the mean over its known n-grams of the longest order
-that has any, and by nothing if none has. A text's language is the one with the largest sum,
-ties going to the language with more training tokens, then by name. The score is the softmax of
-the mean word score times at most ``sharpness`` words.
+Words are runs of letters of the lower-cased text. The model holds, for every word of the training
+texts, its log frequency in each language, and likewise for every character n-gram (of the word
+between two marks) of each order. A known word scores by its log frequencies. An unseen one scores
+by the mean over its known n-grams of the longest order that has any, and by nothing if none has.
+A text's language is the one with the largest sum, ties going to the language with more training
+tokens, then by name. The score is the softmax of the mean word score times at most ``sharpness``
+words.
 
-Counts are taken over all training rows. The shares bound the model (at most 1 / share words and
-n-grams of an order), whatever the size of the corpus.
+Counts are taken over all training rows and nothing is left out of the model, which is a table. The
+distinct words of each block of texts meet it in a join; unseen ones go on to their n-grams.
 
 Defined cases: a text that is null or has no letter is ``und`` with score 0, as is any text where
 no language was learned; rows without text or language are not learned from; repeated rows each
@@ -18,17 +18,19 @@ get a row; other columns are ignored unless named in ``carry``.
 
 from __future__ import annotations
 
+import math
 import re
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sifter.llm.common import held_out
+from sifter.llm.common import held_out, staged
 
 UNKNOWN = "und"
 _LETTERS = re.compile(r"[^\W\d_]+")
@@ -40,12 +42,10 @@ class LanguageId:
 
     fold: int = 5
     orders: tuple[int, ...] = (4, 3, 2, 1)
-    word_share: float = 1e-5
-    gram_share: float = 1e-5
     smoothing: float = 0.5
     sharpness: int = 20
-    #: Unseen words whose scores a worker remembers; predictions don't depend on it.
-    remembered: int = 300_000
+    #: Text bytes of a block, on average: what a task holds at once.
+    block_bytes: int = 12 << 20
 
 
 def words_in(text: str) -> list[str]:
@@ -74,38 +74,19 @@ class Model:
         return np.zeros(len(self.langs))
 
 
-class Scorer:
-    """Scores texts, remembering the vectors of words."""
+class Learned:
+    """The model as a table: order (0: words), key, and v, the log frequencies by language."""
 
-    def __init__(self, model: Model) -> None:
-        self.model = model
-        self.reset()
+    def __init__(self, langs: list[str], table: DataFrame, spec: LanguageId) -> None:
+        self.langs, self.table, self.spec = langs, table, spec
 
-    def reset(self) -> None:
-        outer, self.stacked = self, np.zeros((1024, len(self.model.langs)))
-
-        class Rows(dict):
-            def __missing__(self, word: str) -> int:
-                at = len(self)
-                if at == len(outer.stacked):
-                    outer.stacked = np.vstack([outer.stacked, np.zeros_like(outer.stacked)])
-                outer.stacked[at] = outer.model.word(word)
-                self[word] = at
-                return at
-
-        self.rows = Rows()
-
-    def __call__(self, text: str | None) -> tuple[str, float]:
-        words = words_in(text or "")
-        if not words or not self.model.langs:
-            return UNKNOWN, 0.0
-        if len(self.rows) > self.model.spec.remembered:
-            self.reset()
-        at = np.fromiter(map(self.rows.__getitem__, words), np.int64, len(words))
-        mean = self.stacked[at].mean(axis=0)
-        best = int(np.argmax(mean))
-        spread = np.exp((mean - mean[best]) * min(len(words), self.model.spec.sharpness))
-        return self.model.langs[best], float(1 / spread.sum())
+    @cached_property
+    def tables(self) -> dict[int, dict[str, np.ndarray]]:
+        """All of the table on the driver: to look at small models."""
+        out: dict[int, dict[str, np.ndarray]] = {n: {} for n in (0, *self.spec.orders)}
+        for r in self.table.collect():
+            out[r.order][r.key] = np.array(r.v)
+        return out
 
 
 def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -149,64 +130,88 @@ def _count_grams(orders: tuple[int, ...]):
     return count
 
 
-def _log_frequencies(rows: list[tuple[str, str, int]], totals: dict[str, int], langs: list[str], smoothing: float) -> dict[str, np.ndarray]:
-    place = {lang: i for i, lang in enumerate(langs)}
-    counts: dict[str, np.ndarray] = {}
-    for lang, key, n in rows:
-        counts.setdefault(key, np.zeros(len(langs)))[place[lang]] = n
-    base = np.log(np.array([totals.get(x, 0) for x in langs], float) + smoothing * (len(counts) + 1))
-    return {key: np.log(c + smoothing) - base for key, c in counts.items()}
-
-
-def fit(docs: DataFrame, spec: LanguageId = LanguageId(), text_col: str = "text", lang_col: str = "lang") -> Model:
+def fit(docs: DataFrame, spec: LanguageId = LanguageId(), text_col: str = "text", lang_col: str = "lang") -> Learned:
     """Learn from all rows of docs that have a text and a language."""
     known = docs.filter(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull()).select(F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang"))
-    words = known.mapInArrow(_count_words, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
-    words = words.persist()
-    try:
-        totals = {r.lang: r.n for r in words.groupBy("lang").agg(F.sum("n").alias("n")).collect()}
-        langs = sorted(totals, key=lambda x: (-totals[x], x))
-
-        def frequent(counts: DataFrame, key: str, all_n: int, share: float) -> list[tuple[str, str, int]]:
-            kept = counts.groupBy(key).agg(F.sum("n").alias("all")).filter(F.col("all") >= share * all_n).select(key)
-            found = counts.join(kept, key, "left_semi").select("lang", key, "n").toArrow()
-            return list(zip(*(found.column(i).to_pylist() for i in range(3)), strict=True))
-
-        tables = {0: _log_frequencies(frequent(words, "word", sum(totals.values()), spec.word_share), totals, langs, spec.smoothing)}
-        grams = words.mapInArrow(_count_grams(spec.orders), "lang string, order int, gram string, n long").groupBy("lang", "order", "gram").agg(F.sum("n").alias("n")).persist()
-        try:
-            by_order = defaultdict(dict)
-            for r in grams.groupBy("lang", "order").agg(F.sum("n").alias("n")).collect():
-                by_order[r.order][r.lang] = r.n
-            for n in spec.orders:
-                part = grams.filter(F.col("order") == n)
-                tables[n] = _log_frequencies(frequent(part, "gram", sum(by_order[n].values()), spec.gram_share), by_order[n], langs, spec.smoothing)
-        finally:
-            grams.unpersist()
-    finally:
-        words.unpersist()
-    return Model(langs, tables, spec)
-
-
-def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
+    words = staged(known.mapInArrow(_count_words, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n")))
+    totals = {r.lang: r.n for r in words.groupBy("lang").agg(F.sum("n").alias("n")).collect()}
+    langs = sorted(totals, key=lambda x: (-totals[x], x))
+    grams = words.mapInArrow(_count_grams(spec.orders), "lang string, order int, gram string, n long")
+    every = words.select("lang", F.lit(0).alias("order"), F.col("word").alias("key"), "n").unionByName(grams.withColumnRenamed("gram", "key"))
+    in_lang = [F.coalesce(F.sum(F.when(F.col("lang") == x, F.col("n"))), F.lit(0)) for x in langs]
+    counts = staged(every.groupBy("order", "key").agg((F.array(*in_lang) if langs else F.array().cast("array<long>")).alias("c")))
+    # What a language's counts are divided by: all of the order, and the smoothing of each key and one more.
+    value = F.lit(None).cast("array<double>")
+    for r in counts.groupBy("order").agg(F.count(F.lit(1)).alias("keys"), *[F.sum(F.col("c")[i]).alias(f"n{i}") for i in range(len(langs))]).collect():
+        bases = [float(np.log(r[f"n{i}"] + spec.smoothing * (r["keys"] + 1))) for i in range(len(langs))]
+        logs = F.array(*[F.log(F.col("c")[i] + spec.smoothing) - b for i, b in enumerate(bases)])
+        value = F.when(F.col("order") == r.order, logs).otherwise(value)
+    return Learned(langs, counts.select("order", "key", value.alias("v")), spec)
+
+
+def word_scores(words: DataFrame, model: Learned) -> DataFrame:
+    """word, v of each of the distinct words that is known or has a known n-gram."""
+    of_order = lambda n: model.table.filter(F.col("order") == n).select("key", "v")
+    whole = of_order(0).withColumnRenamed("key", "word")
+    out, left = words.join(whole, "word"), staged(words.join(whole.select("word"), "word", "left_anti"))
+    for n in model.spec.orders:
+
+        def grams(batches: Iterator[pa.RecordBatch], n: int = n) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                rows = [(w, g, k) for w in batch.column(0).to_pylist() for g, k in Counter(grams_of(w, n)).items()]
+                columns = zip(*rows, strict=True) if rows else ([], [], [])
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.string(), pa.int64()), strict=True)], ["word", "key", "k"])
+
+        mean = F.array(*[F.sum(F.col("v")[i] * F.col("k")) / F.sum("k") for i in range(len(model.langs))])
+        found = staged(left.mapInArrow(grams, "word string, key string, k long").join(of_order(n), "key").groupBy("word").agg(mean.alias("v")))
+        out = out.unionByName(found)
+        left = staged(left.join(found.select("word"), "word", "left_anti"))
+    return out
+
+
+def predict(docs: DataFrame, model: Learned, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
     """id, held_out, lang_pred, score and the carried columns of every row; the text alone decides."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by the shares
-    kept = docs.select(F.col(text_col).alias("text__"), F.col(id_col), held_out(id_col, model.spec.fold).alias("held_out"), *[F.col(c).alias(f"carried_{c}") for c in carry])
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema if f.name != "text__") + ", lang_pred string, score double"
-
-    def label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = Scorer(shared.value)
+    spec, langs = model.spec, model.langs
+    kept = docs.select(F.col(text_col).alias("text__"), F.col(id_col), held_out(id_col, spec.fold).alias("held_out"), *[F.col(c).alias(f"carried_{c}") for c in carry])
+    names = [c for c in kept.columns if c != "text__"]
+    if not langs:
+        return kept.select(*names, F.lit(UNKNOWN).alias("lang_pred"), F.lit(0.0).alias("score"))
+    size = kept.agg(F.sum(F.octet_length("text__").cast("long"))).first()[0] or 0
+    blocks = max(1, math.ceil(size / spec.block_bytes))
+    dealt = kept.withColumn("block__", F.pmod(F.xxhash64(id_col, "text__"), F.lit(blocks)).cast("int")).repartition(blocks, "block__")
+
+    def block_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, set[str]] = defaultdict(set)
         for batch in batches:
-            langs, scores = [], []
-            for text in batch.column(0):
-                lang, score = scorer(text.as_py())
-                langs.append(lang)
-                scores.append(score)
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns[1:], pa.array(langs, pa.string()), pa.array(scores, pa.float64())], [*batch.schema.names[1:], "lang_pred", "score"]
-            )
+            for text, block in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
+                held[block].update(words_in(text.as_py() or ""))
+        for block, words in held.items():
+            yield pa.RecordBatch.from_arrays([pa.array([block] * len(words), pa.int32()), pa.array(list(words), pa.string())], ["block__", "word"])
+
+    asked = staged(dealt.select("text__", "block__").mapInArrow(block_words, "block__ int, word string"))
+    scores = asked.join(word_scores(staged(asked.select("word").distinct()), model), "word")
+    width, sharpness = len(langs), spec.sharpness
+
+    def label(left: pa.Table, right: pa.Table) -> pa.Table:
+        number = {w: i for i, w in enumerate(right.column("word").to_pylist())}
+        vectors = np.zeros((len(number) + 1, width))  # the last for words with no score
+        if number:
+            vectors[:-1] = right.column("v").combine_chunks().flatten().to_numpy().reshape(-1, width)
+        labels, certain = [], []
+        for text in left.column("text__"):
+            words = words_in(text.as_py() or "")
+            if not words:
+                labels.append(UNKNOWN)
+                certain.append(0.0)
+                continue
+            mean = vectors[np.fromiter((number.get(w, -1) for w in words), np.int64, len(words))].mean(axis=0)
+            best = int(np.argmax(mean))
+            labels.append(langs[best])
+            certain.append(float(1 / np.exp((mean - mean[best]) * min(len(words), sharpness)).sum()))
+        return left.select(names).append_column("lang_pred", pa.array(labels, pa.string())).append_column("score", pa.array(certain, pa.float64()))
 
-    return kept.mapInArrow(label, schema)
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema if f.name != "text__") + ", lang_pred string, score double"
+    return dealt.groupBy("block__").cogroup(scores.repartition(blocks, "block__").groupBy("block__")).applyInArrow(label, schema)
 
 
 def identify(docs: DataFrame, spec: LanguageId = LanguageId(), id_col: str = "doc_id", carry: tuple[str, ...] = ()) -> DataFrame:

@@ -76,3 +76,14 @@ def test_backoff_takes_the_longest_known_order():
 def test_nothing_to_learn(spark):
     empty = spark.createDataFrame([(1, "text", None)], "doc_id long, text string, lang string")
     assert [r.lang_pred for r in l.identify(empty).collect()] == ["und"] and l.identify(empty.limit(0)).count() == 0
+
+
+def test_rare_words_of_a_small_language_are_known(spark):
+    """Each word of `sm` is far below 1e-5 of all tokens; its n-grams are those of `big`."""
+    big = [(i, " ".join(["abab baba aabb bbaa"] * 5000), "big") for i in range(1, 11)]
+    small = [(50, "abba baab", "sm")]
+    df = spark.createDataFrame([*big, *small], "doc_id long, text string, lang string")
+    model = l.fit(df)
+    assert {"abba", "baab"} <= set(model.tables[0])
+    (r,) = l.predict(spark.createDataFrame([(1, "abba baab abba")], "doc_id long, text string"), model).collect()
+    assert r.lang_pred == "sm" and r.score > 0.9
