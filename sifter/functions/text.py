@@ -121,8 +121,8 @@ def _piece_ends(pieces: Column, n: int) -> Column:
     )
 
 
-def match_offsets(text: Column, words: list[str], most: int = 2000) -> Column:
-    """(at, length) of non-overlapping hits of each distinct word in an already folded text."""
+def match_offsets(text: Column, words: list[str], most: int | None = None) -> Column:
+    """(at, length) of non-overlapping hits of each distinct word in an already folded text; at most `most`, if given."""
     found = None
     for word in dict.fromkeys(fold_value(w) for w in words if w):
         pieces = F.split(text, "\\Q" + word.replace("\\E", "\\E\\\\E\\Q") + "\\E", -1)
@@ -131,7 +131,7 @@ def match_offsets(text: Column, words: list[str], most: int = 2000) -> Column:
         found = hits if found is None else F.concat(found, hits)
     if found is None:
         return F.array().cast("array<struct<at:int,length:int>>")
-    return F.slice(F.sort_array(found), 1, most)
+    return F.sort_array(found) if most is None else F.slice(F.sort_array(found), 1, most)
 
 
 def excerpt(text: Column, folded: Column, words: list[str], before: int = 45, after: int = 100) -> Column:

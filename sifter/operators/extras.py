@@ -45,8 +45,8 @@ def recovery(journal: DataFrame, live: DataFrame) -> DataFrame:
     return journal.select("original").join(found, "original", "left")
 
 
-def text_hits(records: DataFrame, word: str, most: int = 500) -> DataFrame:
-    """path, page, box of each span's hit, in order; at most `most` a path, with `limited` where cut.
+def text_hits(records: DataFrame, word: str, most: int | None = None) -> DataFrame:
+    """path, page, box of each span's hit, in order; at most `most` a path, if given, with `limited` where cut.
 
     A hit's box is the union of the glyphs it covers (spans.glyphs: at, length, x, y, w, h), or
     the span's own where it has none.
@@ -61,6 +61,8 @@ def text_hits(records: DataFrame, word: str, most: int = 500) -> DataFrame:
     own = F.struct(*[F.col(f"span.{c}").alias(c) for c in "xywh"])
     boxed = hits.select("path", "turn", F.col("span.page").alias("page"), F.coalesce(box_union(covered), own).alias("box"))
     order = Window.partitionBy("path").orderBy("turn")
+    if most is None:
+        return boxed.orderBy("path", "turn").select("path", "page", "box", F.lit(False).alias("limited"))
     counted = boxed.withColumns({"place": F.row_number().over(order), "n": F.count(F.lit(1)).over(Window.partitionBy("path"))})
     return counted.filter(F.col("place") <= most).select("path", "page", "box", (F.col("n") > most).alias("limited"))
 

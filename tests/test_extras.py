@@ -42,3 +42,15 @@ def test_histories(spark):
     assert {r.key: r.path for r in x.learned_choices(c).collect()} == {"k": "/hand", "m": "/y"}
     r = spark.createDataFrame([("k", f"/{i}", i) for i in range(5)], "key string, path string, at int")
     assert {v.path for v in x.rejected_paths(r, 2).collect()} == {"/3", "/4"} and x.choice_of("filename", "A b") == "filename:a\x1fb"
+
+
+def test_hits_have_no_cap_unless_given(spark):
+    from sifter.functions import text as t
+
+    many = spark.createDataFrame([("ab " * 2500,)], "n string")
+    assert many.select(F.size(t.match_offsets(F.col("n"), ["ab"])), F.size(t.match_offsets(F.col("n"), ["ab"], 7))).first()[:] == (2500, 7)
+    glyph = "struct<at:int,length:int,x:double,y:double,w:double,h:double>"
+    schema = f"path string, spans array<struct<page:int,text:string,x:double,y:double,w:double,h:double,glyphs:array<{glyph}>>>"
+    rows = spark.createDataFrame([("/a", [(i, "ab", 0.0, 0.0, 1.0, 1.0, []) for i in range(600)])], schema)
+    got = x.text_hits(rows, "ab").collect()
+    assert [r.page for r in got] == list(range(600)) and not any(r.limited for r in got)
