@@ -20,6 +20,10 @@ def alike(a, b):
     return both / (sum(a.values()) + sum(b.values()) - both) if both else 0.0
 
 
+def signed(sets, spec):
+    return n.signatures(np.concatenate(sets) if sets else np.zeros(0, np.uint64), np.array([len(x) for x in sets], np.int64), spec)
+
+
 def brute(rows):
     sets = [(i, multiset(t)) for i, t in rows]
     parent = {i: i for i, _ in rows}
@@ -72,14 +76,16 @@ def test_registers_estimate_the_weighted_similarity():
         u = rng.integers(0, 2**63, 60).astype(np.uint64)
         a, b = (np.sort(np.repeat(u, rng.integers(0, rng.choice([2, 9, 70]), 60))) for _ in range(2))
         if len(a) and len(b):
-            m = n.signatures([a, b, a], spec)
+            m = signed([a, b, a], spec)
             assert abs((m[0] == m[1]).mean() - n.similarity(a, b)) < 0.06 and (m[0] == m[2]).all() and (m != 0).all()
 
 
 def test_signatures_do_not_depend_on_the_batch():
     sets = [n.shingles(t, 5) for _, t in corpus()[:40]]
-    together = n.signatures(sets, SPEC)
-    assert all((n.signatures([s], SPEC)[0] == together[i]).all() for i, s in enumerate(sets))
+    together = signed(sets, SPEC)
+    assert all((signed([s], SPEC)[0] == together[i]).all() for i, s in enumerate(sets))
+    hashes, counts = n.shingle_batch([t for _, t in corpus()[:40]], 5)
+    assert (np.concatenate(sets) == hashes).all() and [len(s) for s in sets] == counts.tolist()
 
 
 def test_similarity_is_of_multisets():
@@ -91,7 +97,7 @@ def test_classes_equal_brute_force(spark):
     rows = corpus()
     df = spark.createDataFrame([(*r, "z") for r in rows], "doc_id long, text string, class_id string")
     want = brute(rows)
-    for spec in (SPEC, n.NearDedup(block=3)):
+    for spec in (SPEC, n.NearDedup(block_bytes=2000, star=3)):
         got = {r.doc_id: r for r in n.classes(df, spec).collect()}
         assert {i: r.class_id for i, r in got.items()} == want
         sizes = Counter(want.values())
@@ -103,7 +109,33 @@ def test_classes_equal_brute_force(spark):
 def test_odd_rows(spark):
     df = spark.createDataFrame([(None, "a b c"), (None, None), (1, "a b c"), (1, "a b c")], "doc_id long, text string")
     assert sorted((r.doc_id or 0, r.class_id or 0) for r in n.classes(df).collect()) == [(0, 0), (0, 1), (1, 1), (1, 1)]
-    assert n.keep_one(df).count() == 4 and n.classes(df.limit(0)).count() == 0
+    assert sorted((r.doc_id or 0, r.text or "") for r in n.keep_one(df).collect()) == [(0, ""), (1, "a b c")]
+    assert n.classes(df.limit(0)).count() == 0 and n.keep_one(df.limit(0)).count() == 0
+
+
+def test_rows_that_share_an_id_get_the_class_of_their_own_text(spark):
+    base = [f"w{i}" for i in range(60)]
+    near = base[:30] + ["other"] + base[31:]
+    rows = [(7, " ".join(base)), (7, "quite another text of its own"), (3, " ".join(near)), (None, " ".join(base)), (9, "quite another text of its own")]
+    df = spark.createDataFrame([(*r, "x") for r in rows], "doc_id long, text string, root string")
+    assert sorted((r.doc_id or 0, r.class_id) for r in n.classes(df).collect()) == [(0, 3), (3, 3), (7, 3), (7, 7), (9, 7)]
+    kept = n.keep_one(df)
+    assert kept.columns == ["doc_id", "text", "root"]
+    assert sorted((r.doc_id, r.text) for r in kept.collect()) == [(3, " ".join(near)), (7, "quite another text of its own")]
+
+
+def test_links_within_a_group_join_each_component_once():
+    import pyarrow as pa
+
+    words = [f"w{i}" for i in range(200)]
+    texts = []
+    for k in range(30):  # all alike, and each a component of its own
+        v = list(words)
+        v[k * 5] = "changed"
+        texts.append(" ".join(v))
+    ids = list(range(10, 40))
+    t = pa.table({"bucket": [1] * 30, "i": [0] * 30, "j": [0] * 30, "side": [0] * 30, "id": ids, "root": ids, "text": texts})
+    assert len(n._joining(t, SPEC)) == 29
 
 
 def test_components(spark):
