@@ -3,25 +3,32 @@
 Documents become token ids plus an end id; longer ones than a sequence are cut into pieces, of
 which the first may be shorter. Lengths are whole numbers up to the sequence length, so the
 whole packing problem is a histogram of at most `capacity` counts, however many documents there
-are. On it the driver rounds the large lengths up within groups of equal cardinality, fills
-sequences with the few rounded sizes by a bounded knapsack, best-filled patterns first, puts the
-actual lengths, longest first, into the slots of their group, and then best-fits the small
-lengths into what is left. The result is a list of runs (this many sequences hold these lengths),
-from which every piece finds its place by its rank among the pieces of its length.
-
-Defined cases: a null text is taken as empty and yields one piece with the end id alone; repeated
-rows are packed once each; an empty table packs into nothing; other columns are ignored.
+are. On it the driver rounds the large lengths up within groups of equal cardinality and optimises
+the configurations of the few rounded sizes: a linear program over all ways to fill a sequence,
+whose columns are made when a knapsack over the dual prices finds one that helps, until it is
+within `gap` of its bound. As many whole sequences of each configuration as the solution has take
+the actual lengths, longest first, into the slots of their group. What the fractions leave over and
+the small lengths go, longest first, each to the sequence with the least room that holds it. The
+result is a list of runs (this many sequences hold these lengths), from which every piece finds its
+place by its rank among the pieces of its length.
+
+Defined cases: a null text is taken as empty and yields one piece with the end id alone; very long
+texts are cut whole; repeated rows are packed once each; pieces of one length are ranked by their
+columns, and equal rows among them may change places; an empty table packs into nothing; other
+columns are ignored.
 """
 
 from __future__ import annotations
 
 import json
 import re
+import struct
 import zlib
+from bisect import bisect_right
 from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import chain
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -41,11 +48,13 @@ class Packing:
     capacity: int = 1024
     end_id: int = 2
     #: Lengths above this share of a sequence are large; they form so many groups.
-    large: float = 0.125
-    groups: int = 48
+    large: float = 0.15
+    groups: int = 200
+    #: How near to its bound the program over configurations is solved.
+    gap: float = 0.001
     #: Whether the vocabulary's added tokens stand for their ids in a text, as by the library's
     #: default settings; otherwise their strings are ordinary text.
-    added_tokens: bool = False
+    added_tokens: bool = True
     #: Words whose ids a worker remembers at most; the ids don't depend on it.
     remembered: int = 400_000
 
@@ -64,7 +73,7 @@ class ByteTokenizer:
     With ``added``, texts are first split at the vocabulary's added tokens.
     """
 
-    def __init__(self, path: str, remembered: int, added: bool = False) -> None:
+    def __init__(self, path: str, remembered: int, added: bool = True) -> None:
         import tiktoken
 
         with open(path, encoding="utf-8") as f:
@@ -86,37 +95,50 @@ class ByteTokenizer:
         outer = self
 
         class Words(dict):
-            def __missing__(self, word: str) -> list[int] | None:
+            def __missing__(self, word: str) -> bytes | None:
                 if len(self) >= outer.remembered:
                     self.clear()
                 # Empty words and white space at either end depend on what stands beside them.
-                ids = None if not word or word[0].isspace() or word[-1].isspace() else outer.encode(" " + word)
+                ids = None if not word or word[0].isspace() or word[-1].isspace() else packed_ids(outer.encode(" " + word))
                 self[word] = ids
                 return ids
 
         self.words = Words()
 
     def ids(self, text: str) -> np.ndarray:
+        return np.frombuffer(self.packed(text), "<u4")
+
+    def packed(self, text: str) -> bytes:
+        """The ids as little-endian 32-bit numbers."""
         if self.split is None or not self.split.search(text):
             return self._plain(text)
         parts = self.split.split(text)  # every other one is an added token
-        return np.concatenate([np.array([self.added[x]], np.uint32) if k % 2 else self._plain(x) for k, x in enumerate(parts)])
+        return b"".join(packed_ids([self.added[x]]) if k % 2 else self._plain(x) for k, x in enumerate(parts))
 
-    def _plain(self, text: str) -> np.ndarray:
+    def _plain(self, text: str) -> bytes:
         first, *rest = text.split(" ")
         if first and not first[-1].isspace():
             try:
-                parts = list(map(self.words.__getitem__, rest))
-                return np.fromiter(chain(self.encode(first), *parts), np.uint32)
+                return packed_ids(self.encode(first)) + b"".join(map(self.words.__getitem__, rest))
             except TypeError:  # a None: such a boundary
                 pass
-        return np.array(self.encode(text), np.uint32)
+        return packed_ids(self.encode(text))
+
+
+def packed_ids(ids: list[int]) -> bytes:
+    return struct.pack(f"<{len(ids)}I", *ids)
+
+
+@lru_cache(maxsize=2)
+def _tokenizer(path: str, remembered: int, added: bool) -> ByteTokenizer:
+    """One for all tasks of a worker."""
+    return ByteTokenizer(path, remembered, added)
 
 
-def _cut(ids: np.ndarray, capacity: int) -> list[tuple[int, int]]:
-    """(start, end) of the pieces: the first takes what whole sequences leave over."""
-    head = (len(ids) - 1) % capacity + 1
-    return [(0, head)] + [(s, s + capacity) for s in range(head, len(ids), capacity)]
+def _cut(n: int, capacity: int) -> list[tuple[int, int]]:
+    """(start, end) of the pieces of n ids: the first takes what whole sequences leave over."""
+    head = (n - 1) % capacity + 1
+    return [(0, head)] + [(s, s + capacity) for s in range(head, n, capacity)]
 
 
 def pieces(
@@ -133,19 +155,20 @@ def pieces(
     schema = f"{id_col} {kind}, piece int, start long, length long, ids_crc32 long" + (", ids array<int>" if with_ids else "")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer = ByteTokenizer(path, spec.remembered, spec.added_tokens)
+        tokenizer, end = _tokenizer(path, spec.remembered, spec.added_tokens), packed_ids([spec.end_id])
         for batch in batches:
             rows, number, start, length, crc, kept = [], [], [], [], [], []
-            for row, text in enumerate(batch.column(1).to_pylist()):
-                ids = np.append(tokenizer.ids(text or ""), np.uint32(spec.end_id)).astype("<u4")
-                for k, (a, b) in enumerate(_cut(ids, spec.capacity)):
+            for row, text in enumerate(batch.column(1)):
+                ids = tokenizer.packed(text.as_py() or "") + end
+                for k, (a, b) in enumerate(_cut(len(ids) // 4, spec.capacity)):
+                    piece = ids[4 * a : 4 * b]
                     rows.append(row)
                     number.append(k)
                     start.append(a)
                     length.append(b - a)
-                    crc.append(zlib.crc32(ids[a:b].tobytes()))
+                    crc.append(zlib.crc32(piece))
                     if with_ids:
-                        kept.append(ids[a:b].astype(np.int32))
+                        kept.append(np.frombuffer(piece, "<i4"))
             arrays = [batch.column(0).take(pa.array(rows, pa.int64())), pa.array(number, pa.int32()), *(pa.array(x, pa.int64()) for x in (start, length, crc))]
             if with_ids:
                 arrays.append(pa.array(kept, pa.list_(pa.int32())))
@@ -174,23 +197,74 @@ def _grouped(counts: dict[int, int], spec: Packing) -> list[list[tuple[int, int]
     return groups + [now] * bool(now)
 
 
-def _fullest(sizes: list[int], left: list[int], capacity: int) -> list[int]:
-    """Copies of each size that fill a sequence best: a bounded knapsack, larger sizes first."""
-    reach = np.full(capacity + 1, -1, np.int64)  # the last size used for a sum; -1: not reached
-    reach[0] = len(sizes)
-    steps: list[np.ndarray] = []
-    for k, s in enumerate(sizes):
-        copies = np.zeros(capacity + 1, np.int64)
-        for sum_ in range(s, capacity + 1) if left[k] else ():
-            if reach[sum_] < 0 and reach[sum_ - s] >= 0 and copies[sum_ - s] < left[k]:
-                reach[sum_], copies[sum_] = k, copies[sum_ - s] + 1
-        steps.append(copies)
-    at, use = int(np.flatnonzero(reach >= 0)[-1]), [0] * len(sizes)
-    while at:
-        k = int(reach[at])
-        use[k] += 1
-        at -= sizes[k]
-    return use
+def _best_pattern(sizes: np.ndarray, prices: np.ndarray, capacity: int) -> tuple[float, np.ndarray]:
+    """The most valuable way to fill a sequence, and its copies of each size: an unbounded knapsack.
+
+    sizes fall. Sums are worked on in stretches no longer than the least size, as a sum depends only
+    on sums that are smaller by a size or more.
+    """
+    value, last, least = np.zeros(capacity + 1), np.full(capacity + 1, -1), int(sizes[-1])
+    padded = np.concatenate([np.full(int(sizes[0]), -np.inf), value])  # sums below 0 can't be reached
+    for low in range(least, capacity + 1, least):
+        sums = np.arange(low, min(low + least, capacity + 1))
+        gains = padded[sums[:, None] - sizes + int(sizes[0])] + prices
+        best = gains.argmax(axis=1)
+        top = gains[np.arange(len(sums)), best]
+        up = top > 1e-12
+        last[sums] = np.where(up, best, -1)
+        padded[sums + int(sizes[0])] = np.where(up, top, 0.0)
+    value = padded[int(sizes[0]) :]
+    at, use = int(value.argmax()), np.zeros(len(sizes))
+    while last[at] >= 0:
+        use[last[at]] += 1
+        at -= int(sizes[last[at]])
+    return float(value.max()), use
+
+
+def _configurations(sizes: list[int], demands: list[int], capacity: int, gap: float) -> list[tuple[int, list[int]]]:
+    """(times, copies of each size): whole parts of a solution of min sum(times), all demands met.
+
+    The simplex method, of which each step prices the sizes, has the knapsack make the pattern that
+    saves most, and takes it into the basis. The value of a pattern bounds what is still to be saved.
+    """
+    width, demand = np.array(sizes, np.int64), np.array(demands, np.float64)
+    # Equal demands would have many steps change nothing; the parts in 10,000 that tell them apart are rounded away.
+    demand *= 1 + 1e-4 * np.modf(np.arange(1, len(sizes) + 1) * 0.6180339887498949)[0]
+    copies = capacity // width
+    basis = np.diag(copies.astype(np.float64))  # a column a pattern: at first each size by itself
+    inverse, times, cost = np.diag(1.0 / copies), demand / copies, np.ones(len(sizes))
+    for step in range(40 * len(sizes) + 100):
+        prices = cost @ inverse  # of each size, where a pattern costs one sequence
+        value, pattern = _best_pattern(width, np.maximum(prices, 0.0), capacity)
+        # A demand may be overfilled, so that a negative price asks for fewer copies of its size.
+        surplus = int(prices.argmin()) if prices.min() < -1e-9 else None
+        if surplus is None and value <= 1 + gap:
+            break
+        column = pattern if surplus is None else -np.eye(len(sizes))[surplus]
+        into = inverse @ column
+        ratio = np.where(into > 1e-9, times / np.where(into > 1e-9, into, 1.0), np.inf)
+        leaves = int(ratio.argmin())
+        if not np.isfinite(ratio[leaves]):
+            break
+        times = np.maximum(times - ratio[leaves] * into, 0.0)
+        times[leaves] = ratio[leaves]
+        basis[:, leaves], cost[leaves] = column, float(surplus is None)
+        row = inverse[leaves] / into[leaves]
+        inverse -= np.outer(into, row)
+        inverse[leaves] = row
+        if step % 200 == 199:  # what rounding has added up goes
+            inverse = np.linalg.inv(basis)
+            times = np.maximum(inverse @ demand, 0.0)
+    out, left = [], np.array(demands, np.float64)
+    for k in np.argsort(-times):
+        use = basis[:, k]
+        if (use < 0).any():  # stands for what is overfilled
+            continue
+        n = int(min(np.floor(times[k] + 1e-6), (left[use > 0] // use[use > 0]).min()))
+        if n > 0:
+            left -= n * use
+            out.append((n, use.astype(int).tolist()))
+    return out
 
 
 def plan(counts: dict[int, int], spec: Packing = Packing()) -> list[tuple[int, list[int]]]:
@@ -201,52 +275,51 @@ def plan(counts: dict[int, int], spec: Packing = Packing()) -> list[tuple[int, l
         raise ValueError("lengths must be from 1 to the capacity")
     runs: list[tuple[int, list[int]]] = [(counts.pop(capacity), [capacity])] if capacity in counts else []
     groups = _grouped(counts, spec)
-    sizes = [g[0][0] for g in groups]  # rounded up: the longest of the group
-    left = [sum(n for _, n in g) for g in groups]
-    patterns: list[tuple[int, list[int]]] = []
-    while any(left):
-        use = _fullest(sizes, left, capacity)
-        times = min(left[k] // u for k, u in enumerate(use) if u)
-        left = [n - times * u for n, u in zip(left, use, strict=True)]
-        patterns.append((times, use))
-    # Actual lengths into the slots, longest first; a run ends where some slot's length changes.
-    filled: list[tuple[int, list[int]]] = []
+    # Groups that begin with the same length have one size, rounded up: the longest of the group.
+    demands: dict[int, int] = defaultdict(int)
+    for g in groups:
+        demands[g[0][0]] += sum(n for _, n in g)
+    patterns = _configurations(list(demands), list(demands.values()), capacity, spec.gap) if groups else []
+    # Actual lengths into the slots: each takes the longest left that its size holds, the last one
+    # the longest that the room holds. A run ends where one of its lengths does.
+    large = sorted(x for x in counts if x > spec.large * capacity)
+    rest, filled = dict(counts), []
     for times, use in patterns:
-        slots = []
-        for k, u in enumerate(use):
-            for _ in range(u):
-                slot, need = [], times
-                while need:
-                    x, n = groups[k][0]
-                    take = min(n, need)
-                    slot.append([x, take])
-                    need -= take
-                    groups[k][0] = (x, n - take)
-                    if n == take:
-                        groups[k].pop(0)
-                slots.append(slot)
-        while slots[0]:
-            n = min(slot[0][1] for slot in slots)
-            filled.append((n, [slot[0][0] for slot in slots]))
-            for slot in slots:
-                slot[0][1] -= n
-                if not slot[0][1]:
-                    slot.pop(0)
-    # Small lengths, longest first, each to the sequences with the least room that holds it.
+        slots = [x for x, u in zip(demands, use, strict=True) for _ in range(u)]
+        while times:
+            lengths: list[int] = []
+            for k, size in enumerate(slots):
+                most = size if k < len(slots) - 1 else capacity - sum(lengths)
+                at = bisect_right(large, most) - 1
+                while at >= 0 and rest[large[at]] == lengths.count(large[at]):
+                    at -= 1
+                if at >= 0:
+                    lengths.append(large[at])
+            if not lengths:
+                break
+            n = min(times, *(rest[x] // lengths.count(x) for x in lengths))
+            filled.append((n, lengths))
+            times -= n
+            for x in lengths:
+                rest[x] -= n
+            large = [x for x in large if rest[x]]
+    # What the configurations leave over, and the small lengths.
+    rest = {x: n for x, n in rest.items() if n}
+    # Longest first, each to the sequences with the least room that holds it.
     rooms: dict[int, list[tuple[int, list[int]]]] = defaultdict(list)
     for n, lengths in filled:
         rooms[capacity - sum(lengths)].append((n, lengths))
-    for x in sorted((x for x in counts if x <= spec.large * capacity), reverse=True):
-        need = counts[x]
+    for x in sorted(rest, reverse=True):
+        need = rest[x]
         while need:
             room = min((r for r in rooms if r >= x and rooms[r]), default=None)
             if room is None:
                 fit = capacity // x
-                whole, rest = divmod(need, fit)
+                whole, over = divmod(need, fit)
                 if whole:
                     rooms[capacity - fit * x].append((whole, [x] * fit))
-                if rest:
-                    rooms[capacity - rest * x].append((1, [x] * rest))
+                if over:
+                    rooms[capacity - over * x].append((1, [x] * over))
                 break
             n, lengths = rooms[room].pop()
             copies = min(room // x, need)  # the least room stays the least as it shrinks
