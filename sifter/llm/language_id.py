@@ -1,39 +1,45 @@
 """Language identification: words first, then ever shorter character n-grams.
 
-Words are runs of letters of the lower-cased text. The model holds, for every word of the training
-texts, its log frequency in each language, and likewise for every character n-gram (of the word
-between two marks) of each order. A known word scores by its log frequencies. An unseen one scores
-by the mean over its known n-grams of the longest order that has any, and by nothing if none has.
-A text's language is the one with the largest sum, ties going to the language with more training
-tokens, then by name. The score is the softmax of the mean word score times at most ``sharpness``
-words.
-
-Counts are taken over all training rows and nothing is left out of the model, which is a table. The
-distinct words of each block of texts meet it in a join; unseen ones go on to their n-grams.
+Words are a letter and the letters and marks after it, in the lower-cased text. The model holds,
+for every word of the training texts, its log frequency in each language, and likewise for every
+character n-gram (of the word between two marks) of each order. A known word scores by its log
+frequencies. An unseen one scores by the mean over its known n-grams of the longest order that has
+any, and by nothing if none has. A text's language is the one with the largest sum, ties going to
+the language with more training tokens, then by name. The score is the softmax of the mean word
+score times at most ``sharpness`` words.
+
+Counts are taken over all training rows and nothing is left out of the model, which is a table.
+Each text is read twice: to count, and to look its words up. The most frequent words, as many as
+``frequent_bytes`` hold, are broadcast and add up where the text is; that is a matter of speed
+alone. All other words meet the model in a join, and what they add comes back by document. What
+follows from the size of the training texts is subtracted at the end, so that counts travel.
 
 Defined cases: a text that is null or has no letter is ``und`` with score 0, as is any text where
 no language was learned; rows without text or language are not learned from; repeated rows each
-get a row; other columns are ignored unless named in ``carry``.
+get a row; very long texts are taken whole; an empty table gives no rows; other columns are
+ignored unless named in ``carry``.
 """
 
 from __future__ import annotations
 
-import math
 import re
-from collections import Counter, defaultdict
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import regex
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sifter.llm.common import held_out, staged
 
 UNKNOWN = "und"
-_LETTERS = re.compile(r"[^\W\d_]+")
+_WORD = regex.compile(r"\p{L}[\p{L}\p{M}]*")
+#: What lies between ASCII characters that are no letters, in lower case: mostly just a word.
+_RUN = re.compile(r"[^\x00-`{-\x7f]+")
 
 
 @dataclass(frozen=True)
@@ -44,12 +50,12 @@ class LanguageId:
     orders: tuple[int, ...] = (4, 3, 2, 1)
     smoothing: float = 0.5
     sharpness: int = 20
-    #: Text bytes of a block, on average: what a task holds at once.
-    block_bytes: int = 12 << 20
+    #: Bound of the broadcast table of frequent words, whatever the number of languages.
+    frequent_bytes: int = 32 << 20
 
 
 def words_in(text: str) -> list[str]:
-    return _LETTERS.findall(text.lower())
+    return _WORD.findall(text.lower())
 
 
 def grams_of(word: str, n: int) -> list[str]:
@@ -75,86 +81,146 @@ class Model:
 
 
 class Learned:
-    """The model as a table: order (0: words), key, and v, the log frequencies by language."""
+    """Counts by language of words (key, c0, c1, ...) and of n-grams, and what they are divided by.
+
+    bases[n][i] is subtracted from the log of a smoothed count of order n (0: words) in language i.
+    """
+
+    def __init__(self, langs: list[str], words: DataFrame, grams: DataFrame, totals: list[tuple], spec: LanguageId) -> None:
+        self.langs, self.words, self.grams, self.spec = langs, words, grams, spec
+        self.counts = [f"c{i}" for i in range(len(langs))]
+        #: By about an eighth of a doubling of a word's count: (step, words, sums by language).
+        self.totals = totals
 
-    def __init__(self, langs: list[str], table: DataFrame, spec: LanguageId) -> None:
-        self.langs, self.table, self.spec = langs, table, spec
+    def _base(self, keys: int, sums: list[int]) -> list[float]:
+        return [float(np.log(n + self.spec.smoothing * (keys + 1))) for n in sums]
+
+    @cached_property
+    def bases(self) -> dict[int, list[float]]:
+        out = {0: self._base(sum(t[1] for t in self.totals), [sum(t[2 + i] for t in self.totals) for i in range(len(self.langs))])}
+        rows = self.grams.groupBy(F.char_length("key").alias("order")).agg(F.count(F.lit(1)).alias("keys"), *[F.sum(c).alias(c) for c in self.counts]).collect()
+        return out | {r.order: self._base(r["keys"], [r[c] for c in self.counts]) for r in rows}
 
     @cached_property
     def tables(self) -> dict[int, dict[str, np.ndarray]]:
-        """All of the table on the driver: to look at small models."""
+        """All of the model on the driver: to look at small ones."""
         out: dict[int, dict[str, np.ndarray]] = {n: {} for n in (0, *self.spec.orders)}
-        for r in self.table.collect():
-            out[r.order][r.key] = np.array(r.v)
+        for table, order in ((self.words, lambda k: 0), (self.grams, len)):
+            for r in table.collect():
+                n = order(r["key"])
+                out[n][r["key"]] = np.log(np.array([r[c] for c in self.counts]) + self.spec.smoothing) - np.array(self.bases[n])
         return out
 
+    def frequent(self) -> Frequent:
+        """The words counted most, as many steps of them as the bound allows."""
+        room, least = self.spec.frequent_bytes // (8 * len(self.langs) + 24), None
+        for step, words, *_ in sorted(self.totals, reverse=True):
+            room -= words
+            if room < 0:
+                break
+            least = step
+        if least is None:
+            return Frequent([], np.zeros((0, len(self.langs))))
+        rows = self.words.filter(_step(self.counts) >= least).toArrow()
+        return Frequent(rows.column("key").to_pylist(), np.log(np.stack([rows.column(c).to_numpy() for c in self.counts], axis=1) + self.spec.smoothing))
+
+
+class Frequent:
+    """Words and the logs of their smoothed counts; a worker numbers the words once."""
+
+    def __init__(self, words: list[str], logs: np.ndarray) -> None:
+        self.words, self.logs = words, logs
+
+    @cached_property
+    def number(self) -> dict[str, int]:
+        return {w: i for i, w in enumerate(self.words)}
 
-def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    counts: dict[str, Counter] = defaultdict(Counter)
 
-    def rows() -> pa.RecordBatch:
-        triples = [(lang, w, n) for lang, c in counts.items() for w, n in c.items()]
-        columns = zip(*triples, strict=True) if triples else ([], [], [])
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.string(), pa.int64()), strict=True)], ["lang", "word", "n"])
+def _step(counts: list[str]) -> Column:
+    return F.floor(F.log2(sum((F.col(c) for c in counts), F.lit(0))) * 8).cast("int")
 
-    for batch in batches:
-        for text, lang in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            counts[lang].update(words_in(text))
-        if sum(map(len, counts.values())) > 500_000:
-            yield rows()
-            counts.clear()
-    yield rows()
 
+def _count_words(langs: list[str]):
+    names = ["key", *(f"c{i}" for i in range(len(langs)))]
+    place = {x: i for i, x in enumerate(langs)}
 
-def _count_grams(orders: tuple[int, ...]):
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: Counter = Counter()
+        counts: list[Counter] = [Counter() for _ in langs]
 
         def rows() -> pa.RecordBatch:
-            keys = list(counts)
+            """The words of all languages; runs of other characters than letters are words of their parts."""
+            for c in counts:
+                for run in [r for r in c if not r.isalpha()]:
+                    n = c.pop(run)
+                    for w in _WORD.findall(run):
+                        c[w] += n
+            words = list(dict.fromkeys(w for c in counts for w in c))
             return pa.RecordBatch.from_arrays(
-                [pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.int32()), pa.array([k[2] for k in keys], pa.string()), pa.array([counts[k] for k in keys], pa.int64())],
-                ["lang", "order", "gram", "n"],
+                [pa.array(words, pa.string()), *(pa.array(np.fromiter(map(lambda w, c=c: c.get(w, 0), words), np.int64, len(words))) for c in counts)], names
             )
 
         for batch in batches:
-            for lang, word, n in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                for order in orders:
-                    for g in grams_of(word, order):
-                        counts[lang, order, g] += n
-            if len(counts) > 500_000:
+            for text, lang in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                counts[place[lang]].update(_RUN.findall(text.lower()))
+            if sum(map(len, counts)) > 1_000_000:
                 yield rows()
-                counts.clear()
+                counts = [Counter() for _ in langs]
         yield rows()
 
     return count
 
 
+def _count_grams(orders: tuple[int, ...], names: list[str]):
+    """Counts of the n-grams of words (key, c0, ...), each as often as the word."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.Table] = []
+
+        def summed() -> pa.Table:
+            t = pa.concat_tables(held).group_by("key").aggregate([(c, "sum") for c in names])
+            return t.rename_columns([c.removesuffix("_sum") for c in t.column_names]).select(["key", *names])
+
+        for batch in batches:
+            marked = [f"<{w}>" for w in batch.column(0).to_pylist()]
+            grams = [m[i : i + n] for n in orders for m in marked for i in range(len(m) - n + 1)]
+            sizes = np.fromiter(map(len, marked), np.int64, len(marked))
+            word = np.concatenate([np.repeat(np.arange(len(marked)), np.maximum(sizes - n + 1, 0)) for n in orders])
+            held.append(pa.table([pa.array(grams, pa.string()), *(pa.array(batch.column(k + 1).to_numpy()[word]) for k in range(len(names)))], ["key", *names]))
+            if sum(t.num_rows for t in held) > 2_000_000:
+                held = [summed()]
+        if held:
+            yield from summed().combine_chunks().to_batches()
+
+    return count
+
+
 def fit(docs: DataFrame, spec: LanguageId = LanguageId(), text_col: str = "text", lang_col: str = "lang") -> Learned:
     """Learn from all rows of docs that have a text and a language."""
     known = docs.filter(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull()).select(F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang"))
-    words = staged(known.mapInArrow(_count_words, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n")))
-    totals = {r.lang: r.n for r in words.groupBy("lang").agg(F.sum("n").alias("n")).collect()}
-    langs = sorted(totals, key=lambda x: (-totals[x], x))
-    grams = words.mapInArrow(_count_grams(spec.orders), "lang string, order int, gram string, n long")
-    every = words.select("lang", F.lit(0).alias("order"), F.col("word").alias("key"), "n").unionByName(grams.withColumnRenamed("gram", "key"))
-    in_lang = [F.coalesce(F.sum(F.when(F.col("lang") == x, F.col("n"))), F.lit(0)) for x in langs]
-    counts = staged(every.groupBy("order", "key").agg((F.array(*in_lang) if langs else F.array().cast("array<long>")).alias("c")))
-    # What a language's counts are divided by: all of the order, and the smoothing of each key and one more.
-    value = F.lit(None).cast("array<double>")
-    for r in counts.groupBy("order").agg(F.count(F.lit(1)).alias("keys"), *[F.sum(F.col("c")[i]).alias(f"n{i}") for i in range(len(langs))]).collect():
-        bases = [float(np.log(r[f"n{i}"] + spec.smoothing * (r["keys"] + 1))) for i in range(len(langs))]
-        logs = F.array(*[F.log(F.col("c")[i] + spec.smoothing) - b for i, b in enumerate(bases)])
-        value = F.when(F.col("order") == r.order, logs).otherwise(value)
-    return Learned(langs, counts.select("order", "key", value.alias("v")), spec)
-
-
-def word_scores(words: DataFrame, model: Learned) -> DataFrame:
-    """word, v of each of the distinct words that is known or has a known n-gram."""
-    of_order = lambda n: model.table.filter(F.col("order") == n).select("key", "v")
-    whole = of_order(0).withColumnRenamed("key", "word")
-    out, left = words.join(whole, "word"), staged(words.join(whole.select("word"), "word", "left_anti"))
-    for n in model.spec.orders:
+    langs = sorted(r.lang for r in known.select("lang").distinct().collect())
+    names = [f"c{i}" for i in range(len(langs))]
+    schema = ", ".join(["key string", *(f"{c} long" for c in names)])
+    sums = [F.sum(c).alias(c) for c in names]
+    counted = known.mapInArrow(_count_words(langs), schema).groupBy("key").agg(*sums) if langs else known.select(F.col("lang").alias("key")).limit(0)
+    counted = staged(counted)
+    if not langs:
+        return Learned([], counted, counted, [], spec)
+    totals = [tuple(r) for r in counted.groupBy(_step(names).alias("step")).agg(F.count(F.lit(1)).alias("words"), *sums).collect()]
+    tokens = [sum(t[2 + i] for t in totals) for i in range(len(langs))]
+    # Languages with more tokens first; one whose texts hold no word at all is not learned.
+    order = sorted((i for i in range(len(langs)) if tokens[i]), key=lambda i: (-tokens[i], langs[i]))
+    words = counted.select("key", *[F.col(f"c{i}").alias(f"c{k}") for k, i in enumerate(order)])
+    names = names[: len(order)]
+    grams = words.mapInArrow(_count_grams(spec.orders, names), ", ".join(["key string", *(f"{c} long" for c in names)]))
+    grams = staged(grams.groupBy("key").agg(*[F.sum(c).alias(c) for c in names])) if order else words
+    return Learned([langs[i] for i in order], words, grams, [(t[0], t[1], *(t[2 + i] for i in order)) for t in totals], spec)
+
+
+def _unseen_scores(words: DataFrame, model: Learned) -> DataFrame:
+    """key, order and v0, v1, ..., the mean logs of its n-grams' smoothed counts, of every word with a known one."""
+    spec, out = model.spec, None
+    left = staged(words)
+    for n in spec.orders:
 
         def grams(batches: Iterator[pa.RecordBatch], n: int = n) -> Iterator[pa.RecordBatch]:
             for batch in batches:
@@ -162,56 +228,91 @@ def word_scores(words: DataFrame, model: Learned) -> DataFrame:
                 columns = zip(*rows, strict=True) if rows else ([], [], [])
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.string(), pa.int64()), strict=True)], ["word", "key", "k"])
 
-        mean = F.array(*[F.sum(F.col("v")[i] * F.col("k")) / F.sum("k") for i in range(len(model.langs))])
-        found = staged(left.mapInArrow(grams, "word string, key string, k long").join(of_order(n), "key").groupBy("word").agg(mean.alias("v")))
-        out = out.unionByName(found)
-        left = staged(left.join(found.select("word"), "word", "left_anti"))
-    return out
+        of_order = model.grams.filter(F.char_length("key") == n)
+        mean = [(F.sum(F.log(F.col(c) + spec.smoothing) * F.col("k")) / F.sum("k")).alias(f"v{i}") for i, c in enumerate(model.counts)]
+        found = staged(left.mapInArrow(grams, "word string, key string, k long").join(of_order, "key").groupBy("word").agg(*mean).withColumn("order", F.lit(n)))
+        out = found if out is None else out.unionByName(found)
+        if n != spec.orders[-1]:
+            left = staged(left.join(found.select(F.col("word").alias("key")), "key", "left_anti"))
+    return out.withColumnRenamed("word", "key")
 
 
 def predict(docs: DataFrame, model: Learned, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
     """id, held_out, lang_pred, score and the carried columns of every row; the text alone decides."""
-    spec, langs = model.spec, model.langs
+    spec, langs, width = model.spec, model.langs, len(model.langs)
     kept = docs.select(F.col(text_col).alias("text__"), F.col(id_col), held_out(id_col, spec.fold).alias("held_out"), *[F.col(c).alias(f"carried_{c}") for c in carry])
     names = [c for c in kept.columns if c != "text__"]
     if not langs:
         return kept.select(*names, F.lit(UNKNOWN).alias("lang_pred"), F.lit(0.0).alias("score"))
-    size = kept.agg(F.sum(F.octet_length("text__").cast("long"))).first()[0] or 0
-    blocks = max(1, math.ceil(size / spec.block_bytes))
-    dealt = kept.withColumn("block__", F.pmod(F.xxhash64(id_col, "text__"), F.lit(blocks)).cast("int")).repartition(blocks, "block__")
+    shared = docs.sparkSession.sparkContext.broadcast(model.frequent())  # frequent_bytes at most
 
-    def block_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, set[str]] = defaultdict(set)
+    def looked_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Words, those known here and the sums of their logs, and the other words of each text."""
+        table = shared.value
+        get, logs = table.number.get, np.vstack([table.logs, np.zeros(width)])  # the last for other words
         for batch in batches:
-            for text, block in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
-                held[block].update(words_in(text.as_py() or ""))
-        for block, words in held.items():
-            yield pa.RecordBatch.from_arrays([pa.array([block] * len(words), pa.int32()), pa.array(list(words), pa.string())], ["block__", "word"])
-
-    asked = staged(dealt.select("text__", "block__").mapInArrow(block_words, "block__ int, word string"))
-    scores = asked.join(word_scores(staged(asked.select("word").distinct()), model), "word")
-    width, sharpness = len(langs), spec.sharpness
-
-    def label(left: pa.Table, right: pa.Table) -> pa.Table:
-        number = {w: i for i, w in enumerate(right.column("word").to_pylist())}
-        vectors = np.zeros((len(number) + 1, width))  # the last for words with no score
-        if number:
-            vectors[:-1] = right.column("v").combine_chunks().flatten().to_numpy().reshape(-1, width)
-        labels, certain = [], []
-        for text in left.column("text__"):
-            words = words_in(text.as_py() or "")
-            if not words:
-                labels.append(UNKNOWN)
-                certain.append(0.0)
-                continue
-            mean = vectors[np.fromiter((number.get(w, -1) for w in words), np.int64, len(words))].mean(axis=0)
-            best = int(np.argmax(mean))
-            labels.append(langs[best])
-            certain.append(float(1 / np.exp((mean - mean[best]) * min(len(words), sharpness)).sum()))
-        return left.select(names).append_column("lang_pred", pa.array(labels, pa.string())).append_column("score", pa.array(certain, pa.float64()))
-
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema if f.name != "text__") + ", lang_pred string, score double"
-    return dealt.groupBy("block__").cogroup(scores.repartition(blocks, "block__").groupBy("block__")).applyInArrow(label, schema)
+            many, known, sums, rare, times = [], [], [], [], []
+            for text in batch.column(0):
+                runs = _RUN.findall((text.as_py() or "").lower())
+                at = [get(r, -1) for r in runs]
+                other: Counter = Counter()
+                if -1 in at:
+                    other.update(r for r, i in zip(runs, at, strict=True) if i < 0)
+                    at = [i for i in at if i >= 0]
+                    for run in [r for r in other if not r.isalpha()]:
+                        n = other.pop(run)
+                        for w in _WORD.findall(run):
+                            i = get(w, -1)
+                            if i < 0:
+                                other[w] += n
+                            else:
+                                at += [i] * n
+                many.append(len(at) + sum(other.values()))
+                known.append(len(at))
+                sums.append(logs[at].sum(axis=0) if at else logs[-1])
+                rare.append(list(other))
+                times.append(list(other.values()))
+            made = [pa.array(many, pa.int64()), pa.array(known, pa.int64()), *(pa.array([s[i] for s in sums], pa.float64()) for i in range(width)), pa.array(rare, pa.list_(pa.string())), pa.array(times, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays([*batch.columns[1:], *made], [*batch.schema.names[1:], "words__", "known__", *(f"s{i}__" for i in range(width)), "rare__", "times__"])
+
+    numbered = kept.select("text__", F.monotonically_increasing_id().alias("row__"), *names)
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in numbered.schema if f.name != "text__")
+    schema += ", words__ long, known__ long, " + ", ".join(f"s{i}__ double" for i in range(width)) + ", rare__ array<string>, times__ array<long>"
+    texts = staged(numbered.mapInArrow(looked_up, schema))
+    # The other words meet the counts; they come back by document as sums, and as unseen words.
+    rare = texts.select("row__", F.explode(F.arrays_zip("rare__", "times__")).alias("z")).select("row__", F.col("z.rare__").alias("key"), F.col("z.times__").alias("k"))
+    met = rare.join(model.words, "key", "left")
+    seen = F.col("c0").isNotNull()
+    log = lambda c: F.log(F.col(c) + spec.smoothing)
+    back = (
+        met.select("row__", "k", F.when(~seen, F.col("key")).alias("key"), *model.counts)
+        .repartition("row__")
+        .groupBy("row__")
+        .agg(
+            F.sum(F.when(seen, F.col("k"))).alias("n0"),
+            *[F.sum(F.when(seen, F.col("k") * log(c))).alias(f"t{i}") for i, c in enumerate(model.counts)],
+            F.collect_list(F.when(~seen, F.struct("key", "k"))).alias("unseen"),
+        )
+    )
+    back = staged(back)
+    unseen = back.select("row__", F.explode("unseen").alias("z")).select("row__", "z.key", "z.k")
+    spelt = staged(unseen.join(_unseen_scores(unseen.select("key").distinct(), model), "key"))
+    by_row = [F.sum(F.col("k") * F.col(f"v{i}")).alias(f"u{i}") for i in range(width)]
+    spelt = spelt.groupBy("row__").agg(*by_row, *[F.sum(F.when(F.col("order") == n, F.col("k"))).alias(f"n{n}") for n in spec.orders])
+    zero = lambda c: F.coalesce(F.col(c), F.lit(0.0))
+    by_order = {0: F.col("known__") + zero("n0")} | {n: zero(f"n{n}") for n in spec.orders}
+    mean = [
+        F.round((zero(f"s{i}__") + zero(f"t{i}") + zero(f"u{i}") - sum((by_order[n] * b[i] for n, b in model.bases.items()), F.lit(0.0))) / F.greatest(F.col("words__"), F.lit(1)), 9)
+        for i in range(width)
+    ]
+    summed = texts.drop("rare__", "times__").join(back.drop("unseen"), "row__", "left").join(spelt, "row__", "left").select(*names, "words__", F.array(*mean).alias("mean__"))
+    best = F.array_max("mean__")
+    some = F.col("words__") > 0
+    return summed.select(
+        *names,
+        F.when(some, F.array(*map(F.lit, langs))[F.array_position("mean__", best).cast("int") - 1]).otherwise(UNKNOWN).alias("lang_pred"),
+        F.when(some, 1 / F.aggregate("mean__", F.lit(0.0), lambda a, x: a + F.exp((x - best) * F.least(F.col("words__"), F.lit(spec.sharpness))))).otherwise(0.0).alias("score"),
+    )
 
 
 def identify(docs: DataFrame, spec: LanguageId = LanguageId(), id_col: str = "doc_id", carry: tuple[str, ...] = ()) -> DataFrame:

@@ -66,6 +66,38 @@ def test_model_equals_brute_force(spark, rows):
     )
 
 
+def brute_labels(model, rows):
+    """Every text by Model.word, a word at a time."""
+    plain, out = l.Model(model.langs, model.tables, model.spec), []
+    for _, text, _ in rows:
+        words = Counter(l.words_in(text or ""))
+        if not words:
+            out.append(("und", 0.0))
+            continue
+        n = sum(words.values())
+        mean = np.round(sum(k * plain.word(w) for w, k in words.items()) / n, 9)
+        out.append((model.langs[int(np.argmax(mean))], float(1 / np.exp((mean - mean.max()) * min(n, 20)).sum())))
+    return out
+
+
+@pytest.mark.parametrize("frequent_bytes", [0, 500, 32 << 20])
+def test_labels_equal_brute_force(spark, frequent_bytes):
+    """Whatever part of the model is broadcast: words known, unseen, of parts, and repeated."""
+    spec = l.LanguageId(frequent_bytes=frequent_bytes)
+    odd = [(1000 + i, t, None) for i, t in enumerate(["haus’s “baum” baumhaus", "½ ² ①", "über-the-haus the", "zzz qqq 漢字", "unhaus " * 30 + "marcherait"])]
+    rows = [r for r in corpus() if r[0] != 906] + odd
+    df = spark.createDataFrame([(*r, k) for k, r in enumerate(rows)], "doc_id long, text string, lang string, place int")
+    model = l.fit(df.filter("doc_id is null or crc32(cast(doc_id as string)) % 5 <> 0"), spec)
+    got = {r.carried_place: (r.lang_pred, r.score) for r in l.predict(df, model, carry=("place",)).collect()}
+    assert len(got) == len(rows)
+    for k, (lang, score) in enumerate(brute_labels(model, rows)):
+        assert got[k][0] == lang and got[k][1] == pytest.approx(score, rel=1e-6), rows[k]
+
+
+def test_words_are_letters_and_marks():
+    assert l.words_in("½ ² ① 12") == [] and l.words_in("नमस्ते, Cafe\u0301") == ["नमस्ते", "cafe\u0301"]
+
+
 def test_backoff_takes_the_longest_known_order():
     spec = l.LanguageId()
     v = lambda x: np.array([x, 0.0])
