@@ -6,6 +6,7 @@ general case (any script, width forms) is `fold_general`, a pandas UDF over NFKD
 
 from __future__ import annotations
 
+import re
 import unicodedata
 
 import pandas as pd
@@ -134,6 +135,27 @@ def match_offsets(text: Column, words: list[str], most: int | None = None) -> Co
     return F.sort_array(found) if most is None else F.slice(F.sort_array(found), 1, most)
 
 
+def spaced_offsets(text: Column, words: list[str], most_length: int = 80) -> Column:
+    """(at, length) of words with no hit as they stand, with white space allowed between their characters.
+
+    Case is ignored, accents are not; words longer than `most_length` are left out.
+    """
+    lower, out = F.lower(text), []
+    for word in dict.fromkeys(w.lower() for w in words if w.strip() and len(w) <= most_length):
+        pattern = "\\s*".join(re.escape(c) for c in word if not c.isspace())
+        hits = F.regexp_extract_all(lower, F.lit(f"({pattern})"), F.lit(1))
+        start = F.struct(F.lit(1).alias("from"), F.array().cast("array<struct<at:int,length:int>>").alias("out"))
+
+        def step(acc: Column, hit: Column) -> Column:
+            at = F.call_function("locate", hit, lower, acc["from"])
+            span = F.array(F.struct((at - 1).alias("at"), F.length(hit).alias("length")))
+            return F.struct((at + F.length(hit)).alias("from"), F.concat(acc["out"], span).alias("out"))
+
+        direct = fold(text).contains(fold_value(word))
+        out.append(F.when(~direct, F.aggregate(hits, start, step, lambda acc: acc["out"])).otherwise(F.array().cast("array<struct<at:int,length:int>>")))
+    return F.sort_array(F.concat(*out)) if out else F.array().cast("array<struct<at:int,length:int>>")
+
+
 def excerpt(text: Column, folded: Column, words: list[str], before: int = 45, after: int = 100) -> Column:
     """The surroundings of the first hit, with … where text is cut; null without a hit."""
     hits = [F.when(F.locate(fold_value(w), folded) > 0, F.locate(fold_value(w), folded)) for w in words if w]

@@ -25,13 +25,22 @@ def duplicate_candidates(files: DataFrame) -> DataFrame:
     return files.join(sizes, "size", "left_semi")
 
 
+def digests(files: DataFrame, content: str = "content") -> DataFrame:
+    """path, size, identity, digest: contents are hashed where they are read, and don't travel."""
+    return files.select("path", "size", "identity", F.sha2(F.col(content).cast("binary"), 256).alias("digest"))
+
+
 def duplicate_members(files: DataFrame) -> DataFrame:
     """path, size, digest, identity of files that share size and digest with another.
 
-    files: path, size, content, identity (what tells physical files apart). Only files of a
-    shared size are hashed.
+    files: path, size, content, identity (what tells physical files apart). Sizes and digests are
+    counted with partial sums, then joined back; only paths and digests are shuffled.
     """
-    hashed = duplicate_candidates(files).select("path", "size", "identity", F.sha2(F.col("content").cast("binary"), 256).alias("digest"))
+    return repeated(digests(files))
+
+
+def repeated(hashed: DataFrame) -> DataFrame:
+    """Rows (path, size, digest, identity) whose size and digest another row has, too."""
     groups = hashed.groupBy("size", "digest").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("size", "digest")
     return hashed.join(groups, ["size", "digest"], "left_semi")
 
@@ -127,7 +136,7 @@ def rename_plan(selection: DataFrame, rule: Rename) -> DataFrame:
 
 
 def rename_violations(plan: DataFrame, existing: DataFrame) -> DataFrame:
-    """original, problem: bad names, targets that meet, exist already, or lie below a source."""
+    """original, problem: bad names, targets that meet or exist already, and sources below other sources."""
     name = name_of(F.col("target"))
     bad = plan.filter((name == "") | name.isin(".", "..") | name.rlike("[:\\x00]") | (F.octet_length(name) > 255)).select("original", F.lit("name").alias("problem"))
     key = fold(F.col("target"))
@@ -143,7 +152,7 @@ def rename_violations(plan: DataFrame, existing: DataFrame) -> DataFrame:
 # Histories
 
 
-def usage(opens: DataFrame, most: int | None = 1000) -> DataFrame:
+def usage(opens: DataFrame, most: int | None = None) -> DataFrame:
     """path, n, last of opens (path, ts); the most opened first."""
     out = opens.groupBy("path").agg(F.count(F.lit(1)).alias("n"), F.max("ts").alias("last"))
     return out.orderBy(F.col("n").desc(), F.col("path")).limit(most) if most else out
@@ -162,12 +171,17 @@ def merge_history(rows: DataFrame) -> DataFrame:
 def retained(rows: DataFrame, as_of: dt.datetime, days: int = 30, max_rows: int = 200, max_bytes: int = 24_000_000, per: str | None = None) -> DataFrame:
     """Pinned rows, and the newest others within the limits of age, rows and bytes that they leave.
 
-    A history (or each, by `per`) is bounded by its limits, so its running sums are small.
+    With `per`, each of its values has a history of its own. Without, all rows are one history, of
+    which no more than `max_rows` can stay: those are taken first, so that the running sums are over
+    few rows. Pinned rows always stay.
     """
     limit = F.lit(as_of.isoformat(sep=" ")).cast("timestamp_ntz") - F.make_dt_interval(F.lit(days))
     fresh = rows.filter(F.col("pinned") | (F.col("created") >= limit))
-    keys = [per] if per else [F.lit(0)]
-    w = Window.partitionBy(*keys).orderBy(F.col("pinned").desc(), F.col("created").desc(), F.col("fingerprint")).rowsBetween(Window.unboundedPreceding, 0)
+    order = [F.col("pinned").desc(), F.col("created").desc(), F.col("fingerprint")]
+    if per is None:
+        others = fresh.filter(~F.col("pinned")).orderBy(*order[1:]).limit(max_rows)
+        fresh = fresh.filter("pinned").unionByName(others)
+    w = Window.partitionBy(*([per] if per else [F.lit(0)])).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     out = fresh.withColumns({"place": F.count(F.lit(1)).over(w), "held": F.sum("bytes").over(w)})
     return out.filter(F.col("pinned") | ((F.col("place") <= max_rows) & (F.col("held") <= max_bytes))).drop("place", "held")
 
@@ -195,8 +209,25 @@ def double_taps(events: DataFrame, key: str, hold: float = 0.45, gap: float = 0.
 # Explanations
 
 
-def diagnose(catalog: DataFrame, targets: DataFrame, text: str, roots: list[str], exclusions: list[str], as_of: dt.datetime, precision: str = "path") -> DataFrame:
-    """Why each target is found or not: one row of booleans. targets: path."""
+def diagnose(
+    catalog: DataFrame,
+    targets: DataFrame,
+    text: str,
+    roots: list[str],
+    exclusions: list[str],
+    as_of: dt.datetime,
+    precision: str = "path",
+    *,
+    live: DataFrame | None = None,
+    local_roots: list[str] | None = None,
+    records: DataFrame | None = None,
+) -> DataFrame:
+    """Why each target is found or not: one row of booleans. targets: path.
+
+    With `live` (path) also whether it exists, with `local_roots` whether a local catalog covers it,
+    without which it can't be repaired, and with `records` (path, state) its text record's state. A
+    folder that is gone is repaired from the one above.
+    """
     q = parse(text)
     known = catalog.withColumn("indexed", F.lit(True))
     rows = targets.select("path").distinct().join(known, "path", "left")
@@ -208,6 +239,19 @@ def diagnose(catalog: DataFrame, targets: DataFrame, text: str, roots: list[str]
         out = F.when(inside(F.col("path"), x), F.lit(x)).otherwise(out)
     ok = lambda c: F.coalesce(c, F.lit(False))
     skipped = F.arrays_overlap(F.split("path", "/"), F.array(*[F.lit(x) for x in SKIPPED]))
+    more = []
+    if live is not None:
+        rows = rows.join(live.select("path", F.lit(True).alias("exists__")).distinct(), "path", "left")
+        more.append(ok(F.col("exists__")).alias("exists"))
+    if records is not None:
+        rows = rows.join(records.select("path", F.col("state").alias("record_state")), "path", "left")
+        more.append(F.coalesce("record_state", F.lit("none")).alias("record_state"))
+    covered = F.lit(True)
+    if local_roots is not None:
+        covered = F.lit(False)
+        for r in local_roots:
+            covered = covered | inside(F.col("path"), r)
+        more.append(covered.alias("local_coverage"))
     return rows.select(
         "path",
         ok(F.col("indexed")).alias("indexed"),
@@ -218,8 +262,9 @@ def diagnose(catalog: DataFrame, targets: DataFrame, text: str, roots: list[str]
         ok(type_filter(q.type)).alias("type_ok"),
         ok(natural_filter(q, as_of)).alias("detail_ok"),
         ok(extension_filter(q) & name_filter(q, precision) & name_score(q.words, precision).isNotNull()).alias("name_ok"),
-        (scope & out.isNull() & ~F.coalesce("indexed", F.lit(False)) & ~skipped).alias("can_repair"),
+        (scope & out.isNull() & ~F.coalesce("indexed", F.lit(False)) & ~skipped & covered).alias("can_repair"),
         parent_of(F.col("path")).alias("repair_dir"),
+        *more,
     )
 
 

@@ -68,11 +68,12 @@ def type_filter(kind: str) -> Column:
 
 
 def extension_filter(q: Query) -> Column:
-    if not q.extensions and not q.excluded_extensions:
-        return F.lit(True)
+    """Folders pass unless extensions are asked for; plain comparisons throughout, which reach the scan."""
     ends = lambda values: _any([F.col("norm_name").endswith(f".{x}") for x in sorted(values)])
-    wanted = ends(q.extensions) if q.extensions else F.lit(True)
-    return F.when(F.col("is_dir"), F.lit(not q.extensions)).otherwise(wanted & ~ends(q.excluded_extensions))
+    parts = [~F.col("is_dir") & ends(q.extensions)] if q.extensions else []
+    if q.excluded_extensions:
+        parts.append(F.col("is_dir") | ~ends(q.excluded_extensions))
+    return _all(parts)
 
 
 def name_filter(q: Query, precision: str = "path") -> Column:
@@ -100,14 +101,14 @@ def _day(as_of: dt.datetime, back: int) -> Column:
 
 def days_filter(column: str, as_of: dt.datetime, days: int) -> Column:
     """The last `days` calendar days, today included; a missing date fails."""
-    c = F.col(column)
-    return F.coalesce((c >= _day(as_of, days - 1)) & (c < _day(as_of, -1)), F.lit(False))
+    c = F.col(column)  # plain comparisons reach the scan; the null test makes them total
+    return c.isNotNull() & (c >= _day(as_of, days - 1)) & (c < _day(as_of, -1))
 
 
 def between_days(column: str, first: dt.date, last: dt.date) -> Column:
     at = lambda d: dt.datetime.combine(d, dt.time())
     c = F.col(column)
-    return F.coalesce((c >= _day(at(first), 0)) & (c < _day(at(last), -1)), F.lit(False))
+    return c.isNotNull() & (c >= _day(at(first), 0)) & (c < _day(at(last), -1))
 
 
 def natural_filter(q: Query, as_of: dt.datetime) -> Column:
@@ -115,7 +116,7 @@ def natural_filter(q: Query, as_of: dt.datetime) -> Column:
     if n.days is not None:
         parts.append(days_filter("modified", as_of, n.days))
     if n.yesterday:
-        parts.append(F.coalesce((F.col("modified") >= _day(as_of, 1)) & (F.col("modified") < _day(as_of, 0)), F.lit(False)))
+        parts.append(F.col("modified").isNotNull() & (F.col("modified") >= _day(as_of, 1)) & (F.col("modified") < _day(as_of, 0)))
     if n.above is not None or n.below is not None:
         parts.append(~F.col("is_dir"))
     if n.above is not None:
@@ -145,16 +146,18 @@ def hidden(path: str = "path") -> Column:
     return F.col(path).rlike(r"(^|/)\.")
 
 
-def candidate_filter(q: Query) -> Column:
-    """A cheap superset of what the name score accepts: each word's letters in order."""
-    parts = []
+def candidate_filter(q: Query, precision: str = "path") -> Column:
+    """A cheap superset of what the name score accepts: each word's letters in order; names with phonetic forms stay."""
+    columns = [F.col("norm_name"), F.col("norm_parent")] if precision == "path" else [F.col("norm_name")]
+    joined, parts = fold_value(" ".join(q.words)), []
     for w in map(fold_value, q.words):
         if len(w) >= 2 and w.isascii() and not any(c in "*?\\%_" for c in w):
             gaps = "%" + "%".join(w) + "%"
-            parts.append(F.col("norm_name").like(gaps) | F.col("norm_parent").like(gaps) | (F.size("forms") > 0))
+            parts.append(_any([c.like(gaps) for c in columns]))
         else:
-            parts.append(F.col("norm_name").contains(w) | F.col("norm_parent").contains(w) | (F.size("forms") > 0))
-    return _all(parts)
+            parts.append(_any([c.contains(w) for c in columns]))
+    whole = [(F.col("norm_name") == joined) | (F.col("norm_stem") == joined)] if q.words else []
+    return _any([_all(parts), F.size("forms") > 0, *whole])
 
 
 # Scores
@@ -313,19 +316,23 @@ def search(
         score, words = F.lit(0), 0
     else:
         keep = keep & (extension_filter(q) & name_filter(q, precision) if q.valid else F.lit(False))
+        targets = [p for p in (prefs.manual, prefs.alias) if p]
+        first = candidate_filter(q, precision)  # a cheap superset of what has a score
+        rows = rows.filter(first | F.col("path").isin(*targets) if targets else first)
         score, words = query_score(q, precision), len(q.words)
     rows = rank(rows.filter(keep if panel is None else keep & panel), score, words, prefs).orderBy(*sort_order(sort))
     return rows.limit(limit) if limit else rows
 
 
-def near_names(catalog: DataFrame, term: str, most: int = 5) -> DataFrame:
+def near_names(catalog: DataFrame, term: str, most: int | None = 5) -> DataFrame:
     """Stems within edit distance 1 (terms of up to four characters) or 2, nearest first."""
     t = fold_value(term)
     reach = 1 if len(term) <= 4 else 2
     stems = catalog.select("norm_stem").filter(F.length("norm_stem") <= 64).distinct()
     d = F.levenshtein(F.col("norm_stem"), F.lit(t), reach)
     found = stems.withColumn("distance", d).filter((F.col("distance") > 0) & (F.abs(F.length("norm_stem") - len(t)) <= reach))
-    return found.orderBy("distance", "norm_stem").limit(most)
+    found = found.orderBy("distance", "norm_stem")
+    return found.limit(most) if most else found
 
 
 def compact_location(catalog: DataFrame) -> DataFrame:

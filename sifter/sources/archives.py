@@ -79,11 +79,26 @@ def member_bytes(content: pd.Series, offset: pd.Series, compressed: pd.Series, s
     return pd.Series([extract(bytes(c), *map(int, rest)) for c, *rest in zip(content, offset, compressed, size, crc, method, flags, strict=True)])
 
 
-def search_members(found: DataFrame, words: list[str], limit: int = 2000) -> DataFrame:
+def search_members(found: DataFrame, words: list[str], limit: int | None = None) -> DataFrame:
     """Members by name score at fuzzy precision, best first, then by natural name."""
     from sifter.operators.search import name_score
 
     rows = found.withColumns({"norm_name": fold(F.element_at(F.split("name", "/"), -1)), "forms": F.array().cast("array<string>")})
     rows = rows.withColumn("norm_stem", F.regexp_replace("norm_name", r"(?<=.)\.[^.]+$", ""))
     scored = rows.withColumn("score", name_score(words, "fuzzy")).filter("score is not null and safe")
-    return scored.orderBy(F.desc("score"), natural_key(F.col("name")), "archive").limit(limit).drop("norm_name", "norm_stem", "forms")
+    found = scored.orderBy(F.desc("score"), natural_key(F.col("name")), "archive").drop("norm_name", "norm_stem", "forms")
+    return found.limit(limit) if limit else found
+
+
+def totals(found: DataFrame, most_members: int = 10_000, most_bytes: int = 250_000_000) -> DataFrame:
+    """archive, members, bytes, names and whether it may be unpacked: few and small enough members, no name twice."""
+    name = fold(F.trim(F.col("name"), F.lit("/")))
+    out = found.groupBy("archive").agg(F.count(F.lit(1)).alias("members"), F.sum("size").cast("long").alias("bytes"), F.count_distinct(name).alias("names"))
+    good = (F.col("members") < most_members) & (F.col("bytes") <= most_bytes) & (F.col("names") == F.col("members"))
+    return out.withColumn("acceptable", good)
+
+
+def still_there(chosen: DataFrame, current: DataFrame) -> DataFrame:
+    """Chosen members that a new listing of their archive still has as they were."""
+    keys = ["archive", "name", "crc", "size", "flags", "offset"]
+    return chosen.join(current.select(*keys).distinct(), keys, "left_semi")

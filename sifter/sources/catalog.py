@@ -11,6 +11,7 @@ import datetime as dt
 import hashlib
 import json
 import os
+import uuid
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
@@ -18,6 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from pyspark.sql.types import StructType
 
+from sifter.functions.text import inside
 from sifter.operators.files import SKIPPED
 
 SCHEMA = "path string, is_dir boolean, size long, modified timestamp_ntz, created timestamp_ntz, identity string, tags array<string>"
@@ -106,30 +108,68 @@ def scan(spark: SparkSession, roots: list[str], exclude: list[str] | None = None
     return spark.read.format("catalog").option("roots", json.dumps(roots)).option("exclude", json.dumps(exclude or [])).option("depth", depth).load()
 
 
-# Snapshots: one Parquet folder for each set of roots, with the roots and a version in the rows.
+# Snapshots: a folder for each set of roots, with the versions written so far and a manifest that
+# names the current one. A version is written whole before the manifest gets its row, so a write
+# that fails, or one that reads the version before, loses nothing.
 
 VERSION = 1
+_MANIFEST = "turn long, folder string, version int"
 
 
 def snapshot_path(base: str, roots: list[str]) -> str:
     return f"{base.rstrip('/')}/{hashlib.sha256(json.dumps(sorted(roots)).encode()).hexdigest()}"
 
 
+def _manifest(spark: SparkSession, path: str) -> list:
+    from pyspark.errors import AnalysisException
+
+    try:
+        return spark.read.schema(_MANIFEST).json(f"{path}/manifest").orderBy(F.desc("turn")).limit(1).collect()
+    except AnalysisException:
+        return []
+
+
+def _point(spark: SparkSession, path: str, folder: str | None) -> None:
+    last = _manifest(spark, path)
+    row = [(last[0].turn + 1 if last else 1, folder, VERSION)]
+    spark.createDataFrame(row, _MANIFEST).coalesce(1).write.mode("append").json(f"{path}/manifest")
+
+
 def save_snapshot(catalog: DataFrame, base: str, roots: list[str]) -> str:
-    path = snapshot_path(base, roots)
-    marked = catalog.withColumn("snapshot_version", F.lit(VERSION))
-    marked.write.mode("overwrite").option("compression", "zstd").parquet(path)
+    path, folder = snapshot_path(base, roots), f"version-{uuid.uuid4().hex}"
+    catalog.write.option("compression", "zstd").parquet(f"{path}/{folder}")
+    _point(catalog.sparkSession, path, folder)
     return path
 
 
 def load_snapshot(spark: SparkSession, base: str, roots: list[str]) -> DataFrame | None:
-    """None where there is no snapshot of these roots, or one of another version."""
-    from pyspark.errors import AnalysisException
-
-    try:
-        found = spark.read.parquet(snapshot_path(base, roots))
-    except AnalysisException:
-        return None
-    if "snapshot_version" not in found.columns or found.filter(F.col("snapshot_version") != VERSION).take(1):
+    """None where there is no snapshot of these roots, it was invalidated, or it is of another version."""
+    path = snapshot_path(base, roots)
+    last = _manifest(spark, path)
+    if not last or last[0].folder is None or last[0].version != VERSION:
         return None
-    return found.drop("snapshot_version")
+    return spark.read.parquet(f"{path}/{last[0].folder}")
+
+
+def invalidate(spark: SparkSession, base: str, roots: list[str]) -> None:
+    """From now on there is no snapshot of these roots."""
+    if load_snapshot(spark, base, roots) is not None:
+        _point(spark, snapshot_path(base, roots), None)
+
+
+def save_by_root(catalog: DataFrame, base: str, roots: list[str]) -> list[str]:
+    """A snapshot for each root of a merged catalog; a row goes to every root that it lies in."""
+    return [save_snapshot(catalog.filter(inside(F.col("path"), r)), base, [r]) for r in roots]
+
+
+def rebuilt(catalog: DataFrame, root: str, fresh: DataFrame) -> DataFrame:
+    """A merged catalog with what lies below a root replaced by a new scan of it."""
+    below = inside(F.col("path"), root) & (F.col("path") != root)
+    return catalog.filter(~below).unionByName(fresh.filter(below).select(*catalog.columns))
+
+
+def limited(catalog: DataFrame, maximum: int | None = None) -> tuple[DataFrame, bool]:
+    """The catalog's first `maximum` paths, if given, and whether that left any out."""
+    if maximum is None:
+        return catalog, False
+    return catalog.orderBy("path").limit(maximum), catalog.limit(maximum + 1).count() > maximum

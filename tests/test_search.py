@@ -27,18 +27,16 @@ def slow_fuzzy(text, word):
         return 700 - min(120, 3 * text.index(word))
     if len(word) < 2 or not word.isascii():
         return None
-    cursor, last, first, score = 0, None, None, 380
+    # Leftmost places of the letters in order, then the score from the places alone.
+    places = []
     for c in word:
-        hit = text.find(c, cursor)
-        if hit < 0:
+        places.append(text.find(c, places[-1] + 1 if places else 0))
+        if places[-1] < 0:
             return None
-        first = hit if first is None else first
-        if hit == 0 or not text[hit - 1].isalnum():
-            score += 28
-        if last is not None:
-            score += 18 if hit == last + 1 else -min(140, 9 * (hit - last - 1))
-        last, cursor = hit, hit + 1
-    return max(40, score - min(100, 3 * first))
+    starts = sum(p == 0 or not text[p - 1].isalnum() for p in places)
+    gaps = [b - a - 1 for a, b in zip(places, places[1:], strict=False)]
+    joins = 18 * gaps.count(0) - sum(min(140, 9 * g) for g in gaps if g)
+    return max(40, 380 + 28 * starts + joins - min(100, 3 * places[0]))
 
 
 def test_fuzzy_equals_a_slow_version(spark):
