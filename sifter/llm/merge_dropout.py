@@ -12,7 +12,8 @@ All chunks of a batch that are of similar length are worked off together in arra
 takes the best candidate of every chunk that has one. Very long chunks take a heap instead.
 
 Defined cases: a null text has null ids and decodes to null; an empty text has no ids; repeated
-rows with the same id are encoded alike; a null id is keyed as its own value.
+rows with the same id are encoded alike; a null id is keyed as its own value; of candidates with one
+score the leftmost goes first; other columns are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations

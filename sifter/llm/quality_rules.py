@@ -7,7 +7,9 @@ kept when the base rules pass and the score reaches a fixed threshold. DataFrame
 
 Defined cases: a null or blank text has no words, fails the base rules and scores 0; repeated
 rows each get a row; with no trusted document all weights are 0, so only the base rules speak;
-other columns of the input are ignored unless named in ``carry``.
+other columns of the input are ignored unless named in ``carry``; very long texts are taken whole; a
+score at the threshold is kept; a document that several labels trust counts once; an empty table
+gives no rows.
 """
 
 from __future__ import annotations

@@ -9,7 +9,8 @@ Defined cases: vectors that are null, or hold null or non-finite components, tak
 do null ids. Vectors of another length than the query's score 0 against it over no components,
 so only equal lengths are compared. Rows of one id are one vector each as candidates; a query id
 is asked once, with its smallest vector, and rows of its own id are never its results. With
-fewer candidates than k all are returned. An empty table gives no rows.
+fewer candidates than k all are returned. Equal scores rank by the smaller id. Other columns are
+ignored, whatever their names. An empty table gives no rows.
 """
 
 from __future__ import annotations

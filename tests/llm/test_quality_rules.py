@@ -1,6 +1,10 @@
+import math
 import random
 import re
 
+import pytest
+from pyspark.sql import functions as F
+
 from sifter.llm import quality_rules as q
 
 RULES = q.QualityRules()
@@ -51,3 +55,31 @@ def test_ratio_prefers_the_target_and_odd_inputs_pass(spark):
     assert sorted((r.doc_id or 0, r.kept) for r in rows) == [(0, False), (1, True), (1, True), (2, False)]
     assert q.score(docs.limit(0), weights, rules).count() == 0
     assert set(q.fit(docs, labels.limit(0), rules)) == {0.0}
+
+
+def test_weights_and_scores_equal_brute_force(spark):
+    """Counts by bucket, the smoothed ratio, and every document's mean over its words and pairs."""
+    rules = q.QualityRules(buckets=64, smoothing=0.5, threshold=0.01)
+    rows = list(enumerate(texts()[:40]))
+    trusted = {i for i in range(5, 30) if i % 2}
+    docs = spark.createDataFrame([(*r, 1.0) for r in rows], "doc_id long, text string, score double")
+    labels = spark.createDataFrame([(i, int(i in trusted), 0) for i in range(5, 35)] + [(7, 1, 0)], "doc_id long, quality int, toxic int")
+    words = {i: re.findall(r"[^\x20\x09-\x0D]+", t or "") for i, t in rows}
+    every = sorted({w for v in words.values() for w in v})
+    h = {r.w: r.h for r in spark.createDataFrame([(w,) for w in every], "w string").select("w", F.xxhash64("w").alias("h")).collect()}
+    pairs = sorted({(h[a], h[b]) for v in words.values() for a, b in zip(v, v[1:], strict=False)})
+    two = {(r.a, r.b): r.h for r in spark.createDataFrame(pairs, "a long, b long").select("a", "b", F.xxhash64("a", "b").alias("h")).collect()}
+    grams = {i: [x % 64 for x in [*(h[w] for w in v), *(two[h[a], h[b]] for a, b in zip(v, v[1:], strict=False))]] for i, v in words.items()}
+    raw, target = [0] * 64, [0] * 64
+    for i, v in grams.items():
+        for b in v:
+            raw[b] += 1
+            target[b] += i in trusted
+    prior = 0.5 * 64
+    p = [(r + 0.5) / (sum(raw) + prior) for r in raw]
+    want = [math.log((t + prior * x) / (sum(target) + prior)) - math.log(x) for t, x in zip(target, p, strict=True)]
+    weights = q.fit(docs, labels, rules)
+    assert weights == pytest.approx(want, rel=1e-12)
+    for r in q.score(docs, weights, rules).collect():
+        mean = sum(want[b] for b in grams[r.doc_id]) / max(1, len(grams[r.doc_id]))
+        assert r.score == pytest.approx(mean, rel=1e-9, abs=1e-12) and r.kept == (not r.base_failed and r.score >= 0.01)
