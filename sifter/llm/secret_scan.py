@@ -1,16 +1,17 @@
 """Secret scans: pattern rules and sliding-window Shannon entropy, in DataFrame functions only.
 
 Base rules find assignments, access keys and hex digests. Besides, every maximal run of
-token characters of at least ``min_run`` is a candidate. A window slides over it; the sum of
-c * log2(c) over the window's symbol counts is kept up to date from the counts of the symbol
-that leaves and the one that enters, as whole numbers. A candidate of the hex class is reported
-when some window reaches ``hex_bits`` of entropy, any other when one reaches ``token_bits``.
-Candidates that an allow-list pattern matches whole, or that lie in a base span, are suppressed;
-base spans always stay.
-
-Spans are ``kind:start:end`` in code points, the end exclusive. A null text is taken as empty;
-repeated rows each get a row; an empty table gives none; the input's other columns are ignored
-unless named in ``carry``.
+token characters of at least ``min_run`` is a candidate, of the first class that has all of its
+symbols: hex, alphanumeric, base64, or any token. A window slides over it. The counts of its
+symbols, five bits each, and the sum of c * log2(c) over them, as whole numbers, are kept up to
+date from the symbol that leaves and the one that enters. A candidate is reported when some window
+reaches its class's bits of entropy. Candidates that an allow-list pattern matches whole, or that
+lie in a base span, are suppressed; base spans always stay.
+
+Spans are ``kind:start:end`` in code points, the end exclusive. A null text is taken as empty; very
+long texts are scanned whole; spans that start together come in the order of their kinds; rows are
+independent, so that repeated rows and null or repeated ids each get a row; an empty table gives
+none; the input's other columns are ignored unless named in ``carry``.
 """
 
 from __future__ import annotations
@@ -28,7 +29,12 @@ ASSIGN = r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?[
 ASSIGN_HEAD = r"""^(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?"""
 ACCESS = "AKIA[A-Z0-9]{12,}"
 HEX = "[0-9a-f]{32,}"
-KINDS = ("assign", "access", "hex", "entropy_hex", "entropy_token")
+KINDS = ("assign", "access", "hex", "entropy_hex", "entropy_alnum", "entropy_base64", "entropy_token")
+#: The symbols of candidates, and the classes in order: their kind's number and what they consist of.
+SYMBOLS = "0123456789abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ+/_=-"
+CLASSES = ((3, "^[0-9a-fA-F]+$"), (4, "^[A-Za-z0-9]+$"), (5, "^[A-Za-z0-9+/=]+$"), (6, "^.*$"))
+_BITS = 5  # of a count; windows are shorter than 2 ** 5
+_PER_LONG = 63 // _BITS
 
 
 @dataclass(frozen=True)
@@ -38,6 +44,8 @@ class SecretScan:
     min_run: int = 24
     window: int = 24
     hex_bits: float = 3.0
+    alnum_bits: float = 4.0
+    base64_bits: float = 4.0
     token_bits: float = 4.0
     min_value: int = 8
     #: Candidates that one of these matches whole are no secrets: numbers, words and words
@@ -49,6 +57,14 @@ class SecretScan:
         "[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}",
     )
 
+    def __post_init__(self) -> None:
+        if not 1 < self.window < 1 << _BITS or self.min_run < self.window:
+            raise ValueError("a window has 2 to 31 symbols, and no candidate is shorter")
+
+    def bits(self) -> tuple[float, ...]:
+        """The least entropy of each class."""
+        return (self.hex_bits, self.alnum_bits, self.base64_bits, self.token_bits)
+
     def allowed(self) -> str:
         return "^(?:" + "|".join(f"(?:{x})" for x in self.allow) + ")$"
 
@@ -103,34 +119,49 @@ def _placed(text: Column, pattern: str, kind: int) -> Column:
 
 
 def least_units(text: Column, scan: SecretScan) -> Column:
-    """The least sum of c * log2(c) over all windows of a string of at least window symbols."""
+    """The least sum of c * log2(c) over all windows of a string of at least window symbols.
+
+    Each step costs the same, however long the window: one symbol's count goes down, one's goes up.
+    """
     w, units = scan.window, F.array(*[F.lit(u) for u in scan.units()])
+    longs = -(-len(SYMBOLS) // _PER_LONG)
+    word = lambda symbol: (symbol / _PER_LONG).cast("int")
+    place = lambda symbol: symbol % _PER_LONG * _BITS
+    one = lambda symbol: F.call_function("shiftleft", F.lit(1).cast("long"), place(symbol))
 
-    def count(part: Column, symbol: Column) -> Column:
-        return F.size(part) - F.size(F.array_remove(part, symbol))
+    def count(counts: Column, symbol: Column) -> Column:
+        return F.call_function("shiftright", F.get(counts, word(symbol)), place(symbol)).bitwiseAND(F.lit((1 << _BITS) - 1)).cast("int")
 
     def change(c: Column, by: int) -> Column:
         return F.get(units, c + by) - F.get(units, c)
 
-    def step(chars: Column, acc: Column, i: Column) -> Column:
+    def moved(counts: Column, symbol: Column, by: int) -> Column:
+        return F.transform(counts, lambda v, k: F.when(k == word(symbol), v + by * one(symbol)).otherwise(v))
+
+    def step(symbols: Column, acc: Column, i: Column) -> Column:
         """Symbol i (from 1) enters; from i > window on, symbol i - window leaves first."""
-        rest = F.slice(chars, F.greatest(i - (w - 1), F.lit(1)), F.least(i - 1, F.lit(w - 1)))
-        into = change(count(rest, F.get(chars, i - 1)), 1)
-        gone = F.when(i > w, change(count(rest, F.get(chars, i - 1 - w)) + 1, -1)).otherwise(F.lit(0))
+        enters, leaves = F.get(symbols, i - 1), F.get(symbols, i - 1 - w)
+        gone = F.when(
+            i > w, F.struct((acc["sum"] + change(count(acc["counts"], leaves), -1)).alias("sum"), moved(acc["counts"], leaves, -1).alias("counts"))
+        ).otherwise(F.struct(acc["sum"].alias("sum"), acc["counts"].alias("counts")))
         return let(
-            acc["sum"] + into + gone,
-            lambda now: F.struct(
-                now.alias("sum"),
-                F.when(i >= w, F.least(acc["best"], now)).otherwise(acc["best"]).alias("best"),
+            gone,
+            lambda g: let(
+                g["sum"] + change(count(g["counts"], enters), 1),
+                lambda now: F.struct(
+                    now.alias("sum"),
+                    F.when(i >= w, F.least(acc["best"], now)).otherwise(acc["best"]).alias("best"),
+                    moved(g["counts"], enters, 1).alias("counts"),
+                ),
             ),
         )
 
     return let(
-        F.split(text, ""),
-        lambda chars: F.aggregate(
+        F.transform(F.split(text, ""), lambda c: F.call_function("locate", c, F.lit(SYMBOLS)) - 1),
+        lambda symbols: F.aggregate(
             F.sequence(F.lit(1), F.length(text)),
-            F.struct(F.lit(0).alias("sum"), F.lit(2**31 - 1).alias("best")),
-            lambda acc, i: step(chars, acc, i),
+            F.struct(F.lit(0).alias("sum"), F.lit(2**31 - 1).alias("best"), F.array_repeat(F.lit(0).cast("long"), longs).alias("counts")),
+            lambda acc, i: step(symbols, acc, i),
             lambda acc: acc["best"],
         ),
     )
@@ -167,13 +198,15 @@ def scan_secrets(
     out = out.withColumn("runs", F.filter("runs", lambda x: ~inside(x)))
 
     def judged(x: Column) -> Column:
-        is_hex = x["m"].rlike("^[0-9a-fA-F]+$")
-        least = least_units(x["m"], scan)
-        found = least <= F.when(is_hex, F.lit(scan.most(scan.hex_bits))).otherwise(F.lit(scan.most(scan.token_bits)))
-        kind = F.when(found, F.when(is_hex, F.lit(3)).otherwise(F.lit(4)))
-        return F.struct(x["s"].alias("s"), x["e"].alias("e"), kind.alias("k"), x["m"].alias("m"))
+        found = F.lit(None).cast("int")
+        for (k, symbols), bits in reversed(list(zip(CLASSES, scan.bits(), strict=True))):
+            found = F.when(x["m"].rlike(symbols), F.when(x["k"] <= scan.most(bits), F.lit(k))).otherwise(found)
+        return F.struct(x["s"].alias("s"), x["e"].alias("e"), found.alias("k"), x["m"].alias("m"))
+
+    def measured(x: Column) -> Column:
+        return F.struct(x["s"].alias("s"), x["e"].alias("e"), least_units(x["m"], scan).alias("k"), x["m"].alias("m"))
 
-    out = out.withColumn("extra", F.when(F.size("runs") > 0, F.filter(F.transform("runs", judged), lambda x: x["k"].isNotNull())).otherwise(F.col("runs")))
+    out = out.withColumn("extra", F.when(F.size("runs") > 0, F.filter(F.transform(F.transform("runs", measured), judged), lambda x: x["k"].isNotNull())).otherwise(F.col("runs")))
     return out.select(id_col, "text", *([F.col("carried")] if carry else []), "base", "extra")
 
 
@@ -225,6 +258,8 @@ def sql(scan: SecretScan = SecretScan(), table: str = "documents") -> str:
     q = lambda x: "'" + x.replace("'", "''") + "'"
     patterns = ", ".join(f"({k}, {q(p)})" for k, p in enumerate((ASSIGN, ACCESS, HEX, f"[A-Za-z0-9+/_=-]{{{scan.min_run},}}")))
     names = "[" + ", ".join(q(k) for k in KINDS) + "]"
+    kinds = " ".join(f"WHEN regexp_matches(s, {q(symbols)}) THEN {k}" for k, symbols in CLASSES)
+    mosts = " ".join(f"WHEN {k} THEN {scan.most(bits)}" for (k, _), bits in zip(CLASSES, scan.bits(), strict=True))
     joined = lambda f: f"coalesce(string_agg({names}[k + 1] || ':' || b || ':' || e, ',' ORDER BY b, k){f}, '')"
     return f"""
 WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t FROM {table}),
@@ -243,9 +278,7 @@ ch AS (SELECT cid, o, substr(s, o + j, 1) AS ch FROM (SELECT *, unnest(range(0,
 n AS (SELECT cid, o, ch, count(*) AS n FROM ch GROUP BY ALL),
 u AS (SELECT cid, o, sum(CAST(round(n * log2(n) * 1e6) AS BIGINT)) AS u FROM n GROUP BY ALL),
 best AS (SELECT cid, min(u) AS u FROM u GROUP BY cid),
-extra AS (SELECT rid, CASE WHEN hex THEN 3 ELSE 4 END AS k, b, e
-        FROM (SELECT *, regexp_matches(s, '^[0-9a-fA-F]+$') AS hex FROM c JOIN best USING (cid))
-        WHERE u <= CASE WHEN hex THEN {scan.most(scan.hex_bits)} ELSE {scan.most(scan.token_bits)} END),
+extra AS (SELECT rid, k, b, e FROM (SELECT c.rid, c.b, c.e, u, CASE {kinds} END AS k FROM c JOIN best USING (cid)) WHERE u <= CASE k {mosts} END),
 spans AS (FROM base UNION ALL FROM extra)
 SELECT any_value(doc_id) AS doc_id, count(*) FILTER (k = 0) AS n_assign, count(*) FILTER (k = 1) AS n_access,
         count(*) FILTER (k = 2) AS n_hex, sha256({joined(" FILTER (k < 3)")}) AS base_sha256, {joined("")} AS spans
