@@ -56,6 +56,8 @@ def test_arguments_are_checked_and_canonical(spark):
 
 def test_turns_agree_with_sql(spark):
     turns = [(1, 0, "system", "s"), (1, 1, "user", "hi \"é\" \\ / \n"), (1, 2, "assistant", "yo"), (1, 3, "user", None), (1, 4, "assistant", "b"), (1, 4, "assistant", "a")]
+    turns += [(5, k, "user" if k % 2 else "assistant", f"t{k}") for k in range(12)] + [(6, k, "user", "all") for k in range(9)]
+    turns += [(7, 0, None, "role"), (7, 1, "tool", None), (7, 2, "system", None), (8, None, "user", "where"), (None, 3, "user", "whose"), (None, 4, "assistant", "whose")]
     turns += [(2, 0, "user", "x" * 50_000), (2, 2, "user", ""), (2, 3, "assistant", ""), (3, 5, "assistant", "lost"), (3, 9, "user", "q"), (2, 0, "user", "again")]
     schema = "conv_id long, turn long, role string, text string"
     got = c.link(*c.from_turns(spark.createDataFrame(turns, schema)), c.TURN_SCHEMAS)
@@ -64,3 +66,31 @@ def test_turns_agree_with_sql(spark):
     con.executemany("insert into conversations values (?, ?, ?, ?)", turns)
     want = con.execute(c.sql()).fetchall()
     assert sorted(map(tuple, got.collect()), key=str) == sorted(want, key=str)
+
+
+def test_levels_of_long_chains_and_junctions(spark):
+    import random
+
+    rng = random.Random(4)
+    deps = {f"c{i}": [f"c{i - 1}"] if i else [] for i in range(300)}  # a chain
+    for i in range(120):  # anything further down, now and then several
+        deps[f"r{i}"] = [f"r{rng.randint(0, i - 1)}" for _ in range(rng.choice([0, 1, 1, 2, 3]))] if i else []
+    deps |= {"x": ["y"], "y": ["z"], "z": ["x"], "p": ["x"], "q": ["p", "c3"], "s": ["q"], "m": ["c299", "r119"], "n": ["m"]}
+    want = {}
+
+    def level(k, path=()):
+        if k in path:
+            return None
+        if k not in want:
+            below = [level(v, (*path, k)) for v in deps[k] if v != k]
+            want[k] = None if None in below else max(below, default=-1) + 1
+        return want[k]
+
+    import sys
+
+    sys.setrecursionlimit(5000)
+    for k in deps:
+        level(k)
+    calls = spark.createDataFrame([(1, k, v) for k, v in deps.items()], "conv_id long, call_id string, depends_on array<string>")
+    got = {r.call_id: r.level for r in c.levels(calls).collect()}
+    assert got == {k: v for k, v in want.items() if v is not None} and got["n"] >= 301 and not set("xyzpqs") & set(got)
