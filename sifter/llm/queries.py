@@ -42,7 +42,7 @@ def op6_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.packed_documents(_table(spark, sf_dir, "documents"), packing.Packing(added_tokens=True))
+    return packing.packed_documents(_table(spark, sf_dir, "documents"))
 
 
 def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -52,7 +52,7 @@ def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = shared_dir(spark)
     warc.write(warc.records(_table(spark, sf_dir, "pages")), path)
-    return warc.digest(warc.read(spark, path, payload="none"))
+    return warc.round_trip(spark, path)
 
 
 def op9_chat_tools(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -8,13 +8,14 @@ one with the largest id is the response and the others revisit it, without a pay
 Reading (format ``warc``) plans one partition for a group of whole files. Equality and IN filters
 on ``record_type`` and on the header columns are pushed down: each record's headers are parsed
 first, and the payload of a record that a filter rejects, or any payload where the option
-``payload`` is ``none``, is skipped by its length: without being read in a plain file, and without
-being decoded in a gzip one.
+``payload`` is ``none``, is skipped by its length: without being read in a plain file. In a gzip one,
+which is a single stream, it is still inflated, but neither decoded nor handed on.
 
 Defined cases: a null payload is taken as empty; rows with a null id are written without one and
 come last among equal payloads; repeated rows are written once each, and rows that share the
 largest id of equal payloads are all responses; a response's header block keeps no line ends from
-the url; no rows make an archive without records.
+the url; very long payloads are written and read whole; other columns are ignored; no rows make an
+archive without records.
 """
 
 from __future__ import annotations
@@ -35,6 +36,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, In, InputPartition
 from pyspark.sql.types import StringType, StructType
 
+from sifter.llm.common import staged
+
 #: Record-ending line ends of the format.
 RECORD_END = "\r\n\r\n"
 SCHEMA = (
@@ -77,14 +80,21 @@ def records(pages: DataFrame, spec: Warc = Warc(), id_col: str = "page_id", url_
         F.sha1(payload.cast("binary")).alias("sha1"),
         F.octet_length(payload).cast("long").alias("bytes"),
     )
-    # Counted with partial sums first, so a payload that many pages share is one row here.
+    # Counted with partial sums, so a payload that many pages share is one row here.
     repeated = (
         base.filter(F.col("bytes") >= spec.min_revisit_bytes)
         .groupBy(F.col("sha1").alias("same"))
         .agg(F.max("record_id").alias("first_id"), F.count(F.lit(1)).alias("n"))
         .filter("n > 1")
     )
-    joined = base.join(repeated, F.col("sha1") == F.col("same"), "left")
+    # Payloads that a thousandth of all pages share, a thousand at most, are told by a broadcast, so
+    # that none of them meets in one task; the others in a join, which the hot ones are spread over.
+    total = pages.count()
+    repeated = staged(repeated)
+    hot = F.col("n") >= max(1000, -(-total // 1000))
+    told = base.join(F.broadcast(repeated.filter(hot).select(F.col("same").alias("hot"), F.col("first_id").alias("hot_id"))), F.col("sha1") == F.col("hot"), "left")
+    told = told.withColumn("key", F.when(F.col("hot").isNull(), F.col("sha1")).otherwise(F.concat(F.lit("hot "), F.xxhash64("record_id", "url").cast("string"))))
+    joined = told.join(repeated.filter(~hot).select("same", "first_id"), F.col("key") == F.col("same"), "left").withColumn("first_id", F.coalesce("first_id", "hot_id"))
     revisit = F.col("first_id").isNotNull() & ~F.col("record_id").eqNullSafe(F.col("first_id"))
     return joined.select(
         "record_id",
@@ -136,6 +146,7 @@ def _files(path: str) -> list[tuple[str, int]]:
         return [(n, os.path.getsize(n)) for n in names if not os.path.basename(n).startswith((".", "_"))]
     from pyarrow import fs
 
+    path = _uri(path)
     system, at = fs.FileSystem.from_uri(path)
     info = system.get_file_info(at)
     infos = system.get_file_info(fs.FileSelector(at)) if info.type == fs.FileType.Directory else [info]
@@ -143,6 +154,11 @@ def _files(path: str) -> list[tuple[str, int]]:
     return [(scheme + i.path, i.size) for i in sorted(infos, key=lambda i: i.path) if i.is_file and not i.base_name.startswith((".", "_"))]
 
 
+def _uri(path: str) -> str:
+    """A URI as pyarrow spells it."""
+    return re.sub("^s3[an]://", "s3://", path)
+
+
 def _opened(uri: str):
     if "://" not in uri:
         stream = open(uri, "rb", buffering=1 << 20)
@@ -247,10 +263,24 @@ def read(spark: SparkSession, path: str, payload: str = "text") -> DataFrame:
     return spark.read.format("warc").option("payload", payload).load(path)
 
 
-def digest(archive: DataFrame) -> DataFrame:
-    return archive.select(
-        F.col("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to"
-    )
+def digest(responses: DataFrame, revisits: DataFrame) -> DataFrame:
+    """A row a record: of responses the size and digest of the payload as read, of revisits what their headers say.
+
+    A response whose header tells another size or digest than its payload has stops the job.
+    """
+    payload = F.coalesce(F.col("payload"), F.lit(""))
+    read = responses.select("record_id", "record_type", "refers_to", "payload_bytes", "payload_digest", F.octet_length(payload).cast("long").alias("size"), _base32(F.sha1(payload.cast("binary"))).alias("sha"))
+    same = (F.col("size") == F.col("payload_bytes")) & (F.col("sha") == F.col("payload_digest"))
+    checked = F.when(same, F.col("sha")).otherwise(F.raise_error(F.concat(F.lit("payload and headers differ in record "), F.col("record_id").cast("string"))))
+    out = ("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    first = read.select(F.col("record_id").alias("page_id"), F.col("size").alias("payload_bytes"), checked.alias("payload_digest"), "record_type", "refers_to")
+    return first.unionByName(revisits.withColumnRenamed("record_id", "page_id").select(*out))
+
+
+def round_trip(spark: SparkSession, path: str) -> DataFrame:
+    """digest() of the archives at a path; each kind of record is asked of the reader, payloads of responses only."""
+    responses = read(spark, path).filter(F.col("record_type") == "response")
+    return digest(responses, read(spark, path, payload="none").filter(F.col("record_type") == "revisit"))
 
 
 def sql(min_revisit_bytes: int = 0, table: str = "pages") -> str:

@@ -38,7 +38,7 @@ def test_round_trip(spark, tmp_path):
     pages = spark.createDataFrame([(*r, "z") for r in ROWS], SCHEMA + ", digest string").repartition(3)
     w.write(w.records(pages), str(tmp_path / "a"))
     archive = w.read(spark, str(tmp_path / "a"))
-    assert sorted((tuple(r) for r in w.digest(archive).collect()), key=str) == brute(ROWS)
+    assert sorted((tuple(r) for r in w.round_trip(spark, str(tmp_path / "a")).collect()), key=str) == brute(ROWS)
     kept = {r.record_id: r.payload for r in archive.filter("record_type = 'response'").collect()}
     assert kept[1] == ROWS[0][2] and kept[8] == ROWS[6][2] and kept[9] == "same"
     con = duckdb.connect()
@@ -47,6 +47,29 @@ def test_round_trip(spark, tmp_path):
     assert sorted(con.execute(w.sql()).fetchall(), key=str) == brute(ROWS)
 
 
+def test_a_hot_payload_and_long_ones(spark, tmp_path):
+    rows = [(i, f"http://{i}", "hot" if i % 3 else f"page {i // 6} " * (1 + i % 5)) for i in range(4000)] + [(9000, "http://long", "é" * 2_000_000)]
+    w.write(w.records(spark.createDataFrame(rows, SCHEMA).repartition(4)), str(tmp_path / "h"))
+    assert sorted((tuple(r) for r in w.round_trip(spark, str(tmp_path / "h")).collect()), key=str) == brute_by_payload(rows)
+
+
+def brute_by_payload(rows):
+    top, many = {}, {}
+    for i, _, html in rows:
+        top[html], many[html] = max(i, top.get(html, -1)), many.get(html, 0) + 1
+    sha = {h: base64.b32encode(hashlib.sha1(h.encode()).digest()).decode() for h in top}
+    return sorted(((i, len(h.encode()), sha[h], "revisit" if i != top[h] else "response", top[h] if i != top[h] else None) for i, _, h in rows), key=str)
+
+
+def test_a_payload_written_wrongly_is_seen(spark, tmp_path):
+    import pytest
+
+    rows = w.records(spark.createDataFrame([(1, "http://a", "abc")], SCHEMA)).withColumn("payload", F.lit("abd"))
+    w.write(rows, str(tmp_path / "w"))
+    with pytest.raises(Exception, match="payload and headers differ in record 1"):
+        w.round_trip(spark, str(tmp_path / "w")).collect()
+
+
 def test_filters_reach_the_reader(spark, tmp_path):
     pages = spark.createDataFrame(ROWS, SCHEMA)
     w.write(w.records(pages), str(tmp_path / "b"), compression="none")
