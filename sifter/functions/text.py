@@ -171,6 +171,20 @@ def excerpt(text: Column, folded: Column, words: list[str], before: int = 45, af
     )
 
 
+def size_text(size: Column) -> Column:
+    """Bytes for people, in decimal units: 999 bytes, 1.5 KB, 20.0 MB."""
+    units = [(10**12, "TB"), (10**9, "GB"), (10**6, "MB"), (1000, "KB")]
+    out = F.concat(size.cast("string"), F.lit(" bytes"))
+    for least, name in reversed(units):
+        out = F.when(size >= least, F.format_string(f"%.1f {name}", (size / least).cast("double"))).otherwise(out)
+    return out
+
+
+def day_text(at: Column) -> Column:
+    """A time for people, to the minute; empty where there is none."""
+    return F.coalesce(F.date_format(at, "yyyy-MM-dd HH:mm"), F.lit(""))
+
+
 def fingerprint(kind: Column, data: Column) -> Column:
     """SHA-256 of kind, a zero byte and the data."""
     return F.sha2(F.concat(kind.cast("binary"), F.unhex(F.lit("00")), data.cast("binary")), 256)

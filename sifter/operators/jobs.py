@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sifter.functions.text import fold, fold_value, natural_key
 from sifter.operators.search import in_scope, type_filter
+from sifter.sources.catalog import load_snapshot, save_snapshot
 
 WAITING, RUNNING, DONE, FAILED, CHANGED, CANCELLED = "waiting", "running", "done", "failed", "changed", "cancelled"
 #: What an event makes of a state; a state that isn't named stays.
@@ -76,5 +77,16 @@ def matching(jobs: DataFrame, needle: str) -> DataFrame:
     return jobs.filter(fold(F.concat_ws(" ", "path", "state", "note")).contains(fold_value(needle)))
 
 
+def save_jobs(jobs: DataFrame, base: str) -> None:
+    """The next version of the stored jobs; those before stay until it is whole."""
+    save_snapshot(jobs, base, ["jobs"])
+
+
+def load_jobs(spark: SparkSession, base: str) -> DataFrame | None:
+    """The stored jobs; those that were running when they were stored wait again."""
+    found = load_snapshot(spark, base, ["jobs"])
+    return None if found is None else found.withColumn("state", F.when(F.col("state") == RUNNING, WAITING).otherwise(F.col("state")))
+
+
 def job_order() -> list[Column]:
     return [F.col("state").asc(), natural_key(F.col("path")).asc(), F.col("path").asc()]

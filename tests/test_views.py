@@ -122,6 +122,10 @@ def test_jobs(spark, tmp_path):
     rows = spark.createDataFrame([("/x10", "done", "n"), ("/x9", "done", "n"), ("/y", "changed", "Üb")], "path string, state string, note string")
     assert [r.path for r in rows.orderBy(*jobs.job_order()).collect()] == ["/y", "/x9", "/x10"] and jobs.matching(rows, "ub").count() == 1
     assert jobs.counts(rows).first().n_done == 2
+    base = str(tmp_path / "jobs")
+    assert jobs.load_jobs(spark, base) is None
+    jobs.save_jobs(rows.withColumn("state", F.when(F.col("path") == "/x9", "running").otherwise(F.col("state"))), base)
+    assert {r.path: r.state for r in jobs.load_jobs(spark, base).collect()} == {"/x9": "waiting", "/x10": "done", "/y": "changed"}
     names = search.with_folded(spark.createDataFrame([("/s/a.pdf", False), ("/s/cache/b.png", False), ("/out/c.png", False), ("/s/d.txt", False)], "path string, is_dir boolean"))
     assert [r.path for r in names.filter(jobs.eligible(["/out"], "/s/cache")).collect()] == ["/s/a.pdf"]
 
@@ -197,6 +201,8 @@ def test_small_functions(spark):
 
     assert row.a == "my report" and row.f == hashlib.sha256(b"k\0data").hexdigest() and [tuple(x) for x in row.s] == [(0, 7)] and row.g == "file iv uni"
     assert parse("ext:ĞIF").extensions == {t.fold_value("ĞIF")}
+    shown = spark.createDataFrame([(999, dt.datetime(2024, 3, 4, 5, 6, 7)), (1500, None), (20_000_000, None)], "n long, at timestamp_ntz")
+    assert [tuple(r) for r in shown.select(t.size_text(F.col("n")), t.day_text(F.col("at"))).collect()] == [("999 bytes", "2024-03-04 05:06"), ("1.5 KB", ""), ("20.0 MB", "")]
     box = F.struct(F.lit(0.1).alias("x"), F.lit(0.2).alias("y"), F.lit(0.3).alias("w"), F.lit(0.4).alias("h"))
     turned = spark.range(1).select(*[t.rotated_box(box, F.lit(k)).alias(f"t{k}") for k in (0, 90, 180, 270)]).first()
     assert [tuple(round(v, 6) for v in b) for b in turned] == [(0.1, 0.2, 0.3, 0.4), (0.2, 0.6, 0.4, 0.3), (0.6, 0.4, 0.3, 0.4), (0.4, 0.1, 0.4, 0.3)]
