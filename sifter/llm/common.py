@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -32,6 +33,9 @@ def shared_dir(spark: SparkSession) -> str:
     return f"{root.rstrip('/')}/sifter-{uuid.uuid4().hex}"
 
 
+_WATCHED: list[list[str]] = []
+
+
 def staged(df: DataFrame) -> DataFrame:
     """The rows of df, written once to a table in the shared folder and read back.
 
@@ -39,10 +43,49 @@ def staged(df: DataFrame) -> DataFrame:
     """
     spark = df.sparkSession
     path = shared_dir(spark)
-    df.write.parquet(path)
+    for made in _WATCHED:
+        made.append(path)
+    df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def watched() -> Iterator[list[str]]:
+    """The folders of all tables that are staged meanwhile."""
+    made: list[str] = []
+    _WATCHED.append(made)
+    try:
+        yield made
+    finally:
+        _WATCHED.remove(made)
+
+
+def released(made: list[str], keep: DataFrame) -> list[str]:
+    """Deletes those of the staged tables that `keep` doesn't read; gives the others."""
+    read = " ".join(keep.inputFiles())
+    jvm, conf = keep.sparkSession._jvm, keep.sparkSession._jsc.hadoopConfiguration()
+    left = []
+    for folder in made:
+        if folder.rsplit("/", 1)[1] in read:
+            left.append(folder)
+        else:
+            path = jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(conf).delete(path, True)
+    return left
+
+
+@contextmanager
+def arrow_rows(spark: SparkSession, most: int) -> Iterator[None]:
+    """Batches of so many rows for Python while the body runs, where rows carry whole texts."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(min(most, int(before)) if int(before) > 0 else most))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """body(value) with value computed once for the row, also inside lambdas."""
     return F.transform(F.array(value), body)[0]

@@ -34,7 +34,7 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sifter.llm.common import held_out, staged
+from sifter.llm.common import arrow_rows, held_out, staged
 
 UNKNOWN = "und"
 _WORD = regex.compile(r"\p{L}[\p{L}\p{M}]*")
@@ -50,8 +50,10 @@ class LanguageId:
     orders: tuple[int, ...] = (4, 3, 2, 1)
     smoothing: float = 0.5
     sharpness: int = 20
-    #: Bound of the broadcast table of frequent words, whatever the number of languages.
-    frequent_bytes: int = 32 << 20
+    #: Bound of the broadcast table of frequent words in a worker, whatever the number of languages.
+    frequent_bytes: int = 48 << 20
+    #: Rows that a worker gets at once.
+    batch_rows: int = 2000
 
 
 def words_in(text: str) -> list[str]:
@@ -113,7 +115,7 @@ class Learned:
 
     def frequent(self) -> Frequent:
         """The words counted most, as many steps of them as the bound allows."""
-        room, least = self.spec.frequent_bytes // (8 * len(self.langs) + 24), None
+        room, least = self.spec.frequent_bytes // (8 * len(self.langs) + 160), None
         for step, words, *_ in sorted(self.totals, reverse=True):
             room -= words
             if room < 0:
@@ -240,7 +242,9 @@ def _unseen_scores(words: DataFrame, model: Learned) -> DataFrame:
 def predict(docs: DataFrame, model: Learned, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
     """id, held_out, lang_pred, score and the carried columns of every row; the text alone decides."""
     spec, langs, width = model.spec, model.langs, len(model.langs)
-    kept = docs.select(F.col(text_col).alias("text__"), F.col(id_col), held_out(id_col, spec.fold).alias("held_out"), *[F.col(c).alias(f"carried_{c}") for c in carry])
+    read = f"carried_{text_col}" if text_col in carry else "text__"  # a text that is carried is sent once
+    texts = [F.col(text_col).alias(read)] if read == "text__" else []
+    kept = docs.select(*texts, F.col(id_col), held_out(id_col, spec.fold).alias("held_out"), *[F.col(c).alias(f"carried_{c}") for c in carry])
     names = [c for c in kept.columns if c != "text__"]
     if not langs:
         return kept.select(*names, F.lit(UNKNOWN).alias("lang_pred"), F.lit(0.0).alias("score"))
@@ -252,7 +256,7 @@ def predict(docs: DataFrame, model: Learned, id_col: str = "doc_id", text_col: s
         get, logs = table.number.get, np.vstack([table.logs, np.zeros(width)])  # the last for other words
         for batch in batches:
             many, known, sums, rare, times = [], [], [], [], []
-            for text in batch.column(0):
+            for text in batch.column(read):
                 runs = _RUN.findall((text.as_py() or "").lower())
                 at = [get(r, -1) for r in runs]
                 other: Counter = Counter()
@@ -273,12 +277,14 @@ def predict(docs: DataFrame, model: Learned, id_col: str = "doc_id", text_col: s
                 rare.append(list(other))
                 times.append(list(other.values()))
             made = [pa.array(many, pa.int64()), pa.array(known, pa.int64()), *(pa.array([s[i] for s in sums], pa.float64()) for i in range(width)), pa.array(rare, pa.list_(pa.string())), pa.array(times, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays([*batch.columns[1:], *made], [*batch.schema.names[1:], "words__", "known__", *(f"s{i}__" for i in range(width)), "rare__", "times__"])
+            through = [c for c in batch.schema.names if c != "text__"]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in through), *made], [*through, "words__", "known__", *(f"s{i}__" for i in range(width)), "rare__", "times__"])
 
-    numbered = kept.select("text__", F.monotonically_increasing_id().alias("row__"), *names)
+    numbered = kept.select(*["text__"] * (read == "text__"), F.monotonically_increasing_id().alias("row__"), *names)
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in numbered.schema if f.name != "text__")
     schema += ", words__ long, known__ long, " + ", ".join(f"s{i}__ double" for i in range(width)) + ", rare__ array<string>, times__ array<long>"
-    texts = staged(numbered.mapInArrow(looked_up, schema))
+    with arrow_rows(docs.sparkSession, spec.batch_rows):
+        texts = staged(numbered.mapInArrow(looked_up, schema))
     # The other words meet the counts; they come back by document as sums, and as unseen words.
     rare = texts.select("row__", F.explode(F.arrays_zip("rare__", "times__")).alias("z")).select("row__", F.col("z.rare__").alias("key"), F.col("z.times__").alias("k"))
     met = rare.join(model.words, "key", "left")

@@ -38,6 +38,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sifter.llm.common import staged
+from sifter.llm.hashing import GOLD as _GOLD
+from sifter.llm.hashing import U as _U
+from sifter.llm.hashing import mix as _mix
+from sifter.llm.hashing import run_hashes, tidied, word_bounds
 
 
 @dataclass(frozen=True)
@@ -59,67 +63,23 @@ class NearDedup:
         return self.bands * self.rows
 
 
-_U = np.uint64
-_GOLD = _U(0x9E3779B97F4A7C15)
 _EMPTY = _U(0xFFFFFFFFFFFFFFFF)
 
 
-def _mix(x: np.ndarray) -> np.ndarray:
-    y = x >> _U(30)
-    y ^= x
-    y *= _U(0xBF58476D1CE4E5B9)
-    x = y >> _U(27)
-    x ^= y
-    x *= _U(0x94D049BB133111EB)
-    np.right_shift(x, _U(31), out=y)
-    y ^= x
-    return y
-
-
 # Shingles
 
 
-class _Powers:
-    """Powers of an odd base modulo 2**64 and of its inverse, as far as they were asked for."""
-
-    def __init__(self) -> None:
-        self.up = self.down = np.ones(1, np.uint64)
-
-    def upto(self, n: int) -> tuple[np.ndarray, np.ndarray]:
-        if len(self.up) < n:
-            powers = lambda base: np.cumprod(np.append(_U(1), np.full(n, _U(base))), dtype=np.uint64)
-            self.up, self.down = powers(int(_GOLD)), powers(pow(int(_GOLD), -1, 1 << 64))
-        return self.up, self.down
-
-
-_POWERS = _Powers()
-_LETTERS = _mix(np.arange(1, 257, dtype=np.uint64))
-
-
 def shingle_batch(texts: list[str | None], n: int) -> tuple[np.ndarray, np.ndarray]:
     """64-bit hashes of all texts' shingles, with repeats and sorted within a text; shingles by text.
 
-    A shingle's hash is that of its bytes, one blank for each run of white space: a difference of
-    prefix sums over the bytes of the whole batch.
+    A shingle's hash is that of its bytes, with one blank for each run of white space.
     """
-    raw = [(t or "").lower().encode("utf-8", "surrogatepass") for t in texts]
-    data = np.frombuffer(b"\n".join(raw) + b"\n", np.uint8)
-    gap = (data == 32) | ((data >= 9) & (data <= 13))
-    keep = ~gap
-    keep[1:] |= ~gap[:-1]  # the blank that ends a word stays
-    kept, blank = data[keep], gap[keep]
-    up, down = _POWERS.upto(len(kept) + 1)
-    sums = np.zeros(len(kept) + 1, np.uint64)
-    np.cumsum(_LETTERS[np.where(blank, 32, kept)] * up[: len(kept)], out=sums[1:])
-    bounds = np.append(0, np.flatnonzero(blank) + 1)  # where words start, and where the last one ends
-    upto = np.cumsum(keep)[np.cumsum([len(r) + 1 for r in raw]) - 1]
-    ends = np.searchsorted(bounds[1:], upto, side="right")  # words up to the end of each text
-    sizes = np.diff(np.append(0, ends))
+    kept, sizes = tidied([(t or "").lower().encode("utf-8", "surrogatepass") for t in texts])
+    bounds, ends = word_bounds(kept), np.cumsum(sizes)
     word = np.arange(sizes.sum())
     first, last = np.repeat(ends - sizes, sizes), np.repeat(ends, sizes)
     some = (word + n <= last) | (word == first)
-    a, b = bounds[word[some]], bounds[np.minimum(word + n, last)[some]]
-    h = _mix((sums[b] - sums[a]) * down[a] + (b - a).astype(np.uint64))
+    h = run_hashes(kept, bounds[word[some]], bounds[np.minimum(word + n, last)[some]])
     counts = np.where(sizes > 0, np.maximum(sizes - n + 1, 1), 0)
     at = 0
     for c in counts.tolist():

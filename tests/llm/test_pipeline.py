@@ -1,7 +1,7 @@
 import random
 
-import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline as c
 from sifter.llm import packing
@@ -54,5 +54,28 @@ def test_each_stage_decides_and_run_equals_a_plain_version(spark, corpus, monkey
     assert all(texts[i].text == before[i] for i in texts if i != 206)
 
     tokenizer = packing.ByteTokenizer(packing.vocabulary_path(), 1000)
-    want = {(i, k, a, b - a) for i, r in texts.items() for k, (a, b) in enumerate(packing._cut(np.append(tokenizer.ids(r.text), 2), 1024))}
+    want = {(i, k, a, b - a) for i, r in texts.items() for k, (a, b) in enumerate(packing._cut(len(tokenizer.ids(r.text)) + 1, 1024))}
     assert {(r.doc_id, r.piece, r.start, r.length) for r in got} == want and len(got) == len(want)
+
+
+def test_odd_tables(spark, corpus, tmp_path):
+    """No rows; and nulls everywhere, repeated ids and rows, a very long text, and columns of its own."""
+    _, path = corpus
+    labels = spark.read.parquet(f"{path}/labels.parquet")
+    docs = spark.read.parquet(f"{path}/documents.parquet")
+    for name, rows in (("none", docs.limit(0)), ("odd", None)):
+        at = str(tmp_path / name)
+        if rows is None:
+            first, second = (r.text for r in docs.filter("doc_id in (1, 2)").orderBy("doc_id").collect())
+            extra = [(None, None, None, None, None), (None, first, None, None, None), (7, first, "en", "s", 1), (1, second, "en", "s", 1), (1, second, "en", "s", 1), (8, f"{first} {second} " * 300 + " other", "en", None, None)]
+            rows = docs.unionByName(spark.createDataFrame(extra, SCHEMA)).withColumns({"row__": F.lit(1), "score": F.lit("x"), "kept": F.lit(False), "id": F.lit(0)})
+        rows.write.parquet(f"{at}/documents.parquet")
+        labels.write.parquet(f"{at}/labels.parquet")
+        got = c.run(spark, at)
+        assert "sequence_id" in got.columns
+        if name == "none":
+            assert got.count() == 0
+            continue
+        first_pieces = [r.doc_id for r in got.filter("piece = 0").collect()]
+        # 1 stands for its own text and, as a row of its own, for the repeated text, which 2 has, too.
+        assert first_pieces.count(1) == 2 and None not in first_pieces and 2 not in first_pieces and 7 not in first_pieces
