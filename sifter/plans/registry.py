@@ -371,9 +371,9 @@ def duplicate_summary(spark: SparkSession, d: str) -> DataFrame:
     return fl.duplicate_groups(_members(spark, d)).agg(F.count(F.lit(1)).alias("n_groups"), F.coalesce(F.sum("extra_bytes"), F.lit(0)).alias("extra_bytes"))
 
 
-@query("duplicate_filter_group", f"WITH {_DUP}, x AS (SELECT path, size, digest FROM m JOIN g USING (size, digest)) SELECT path, digest FROM x WHERE (digest, size) IN (SELECT (digest, size) FROM x WHERE contains(path, '/src1/'))")
+@query("duplicate_filter_group", f"WITH {_DUP}, x AS (SELECT path, size, digest FROM m JOIN g USING (size, digest)) SELECT path, digest FROM x WHERE (digest, size) IN (SELECT (digest, size) FROM x WHERE contains(path, '/en/'))")
 def duplicate_filter_group(spark: SparkSession, d: str) -> DataFrame:
-    return fl.duplicate_filter(_members(spark, d), "/SRC1/").select("path", "digest")
+    return fl.duplicate_filter(_members(spark, d), "/EN/").select("path", "digest")
 
 
 # Usage and histories
