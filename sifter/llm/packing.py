@@ -221,11 +221,27 @@ def _best_pattern(sizes: np.ndarray, prices: np.ndarray, capacity: int) -> tuple
     return float(value.max()), use
 
 
+def _inverse(matrix: np.ndarray) -> np.ndarray:
+    """By elimination, the largest of a column as its pivot."""
+    n = len(matrix)
+    both = np.hstack([matrix, np.eye(n)])
+    for k in range(n):
+        top = k + int(np.abs(both[k:, k]).argmax())
+        both[[k, top]] = both[[top, k]]
+        both[k] /= both[k, k]
+        factors = both[:, k].copy()
+        factors[k] = 0.0
+        both -= np.multiply.outer(factors, both[k])
+    return both[:, n:]
+
+
 def _configurations(sizes: list[int], demands: list[int], capacity: int, gap: float) -> list[tuple[int, list[int]]]:
     """(times, copies of each size): whole parts of a solution of min sum(times), all demands met.
 
     The simplex method, of which each step prices the sizes, has the knapsack make the pattern that
     saves most, and takes it into the basis. The value of a pattern bounds what is still to be saved.
+    Products are einsum's and not BLAS's, whose threads wait for each other thousands of times on matrices
+    this small, and whose number changes the steps.
     """
     width, demand = np.array(sizes, np.int64), np.array(demands, np.float64)
     # Equal demands would have many steps change nothing; the parts in 10,000 that tell them apart are rounded away.
@@ -234,14 +250,14 @@ def _configurations(sizes: list[int], demands: list[int], capacity: int, gap: fl
     basis = np.diag(copies.astype(np.float64))  # a column a pattern: at first each size by itself
     inverse, times, cost = np.diag(1.0 / copies), demand / copies, np.ones(len(sizes))
     for step in range(40 * len(sizes) + 100):
-        prices = cost @ inverse  # of each size, where a pattern costs one sequence
+        prices = np.einsum("i,ij->j", cost, inverse)  # of each size, where a pattern costs one sequence
         value, pattern = _best_pattern(width, np.maximum(prices, 0.0), capacity)
         # A demand may be overfilled, so that a negative price asks for fewer copies of its size.
         surplus = int(prices.argmin()) if prices.min() < -1e-9 else None
         if surplus is None and value <= 1 + gap:
             break
         column = pattern if surplus is None else -np.eye(len(sizes))[surplus]
-        into = inverse @ column
+        into = np.einsum("ij,j->i", inverse, column)
         ratio = np.where(into > 1e-9, times / np.where(into > 1e-9, into, 1.0), np.inf)
         leaves = int(ratio.argmin())
         if not np.isfinite(ratio[leaves]):
@@ -253,8 +269,8 @@ def _configurations(sizes: list[int], demands: list[int], capacity: int, gap: fl
         inverse -= np.outer(into, row)
         inverse[leaves] = row
         if step % 200 == 199:  # what rounding has added up goes
-            inverse = np.linalg.inv(basis)
-            times = np.maximum(inverse @ demand, 0.0)
+            inverse = _inverse(basis)
+            times = np.maximum(np.einsum("ij,j->i", inverse, demand), 0.0)
     out, left = [], np.array(demands, np.float64)
     for k in np.argsort(-times):
         use = basis[:, k]

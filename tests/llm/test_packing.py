@@ -1,4 +1,5 @@
 import random
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -50,6 +51,20 @@ def test_plan_is_close_to_the_bound():
     assert n <= 1.002 * (sum(x * c for x, c in counts.items()) / 1024) + 1
 
 
+def test_planning_keeps_to_one_core():
+    """Threads that wait for each other at every step had the plan depend on the cores, and take as many."""
+    rng = random.Random(2)
+    counts = Counter(rng.randint(1, 1023) for _ in range(5000))
+    wall, cpu = time.perf_counter(), time.process_time()
+    p.plan(counts)
+    assert time.process_time() - cpu < 1.5 * (time.perf_counter() - wall)
+
+
+def test_inverse():
+    basis = np.random.default_rng(3).integers(0, 4, (60, 60)).astype(float)
+    assert np.allclose(p._inverse(basis) @ basis, np.eye(60), atol=1e-8)
+
+
 def best_fit_decreasing(counts):
     rooms, n = Counter(), 0
     for x in sorted(counts, reverse=True):
